@@ -40,7 +40,8 @@ def micros(name):
     return F.round(F.col(name) * 60_000_000).cast("long").alias(name)
 
 
-ANCHOR_COLS = ["hour_floor", "hour_ceil", "hour_nearest", *map(micros, DELTAS)]
+def anchor_cols():
+    return ["hour_floor", "hour_ceil", "hour_nearest", *map(micros, DELTAS)]
 
 
 def _text(spark, sf_dir):
@@ -203,7 +204,7 @@ def missing_report(spark, sf_dir):
     ),
 )
 def hour_anchors(spark, sf_dir):
-    return clean.hour_anchors(fx.micro(spark, sf_dir), "ts").select("event_id", *ANCHOR_COLS)
+    return clean.hour_anchors(fx.micro(spark, sf_dir), "ts").select("event_id", *anchor_cols())
 
 
 @query(
@@ -234,4 +235,4 @@ def clean_readings(spark, sf_dir):
         {"v": (0.0, None), "pressure": (8.0e4, 1.1e5)},
         {"pressure": PRESSURE_TO_PA},
         others={"tag": "event_id"},
-    ).select("time", "tag", "v", "pressure", *ANCHOR_COLS)
+    ).select("time", "tag", "v", "pressure", *anchor_cols())
