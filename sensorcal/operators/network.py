@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import haversine_km, unit_sphere
+from ..runtime import materialize
 from ..schema import ScoreParams
 from .quantiles import exact_quantiles, one_row
 from .timeseries import contiguous_segments, first_difference, minmax01, robust_z
@@ -126,7 +127,8 @@ def sci(dev: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
 def jump_rate_tci(series: DataFrame, x: str = "x", keys: Sequence[str] = ("channel",), jump_z: float = 3.5) -> DataFrame:
     """Temporal consistency per site: share of steps whose robust z exceeds ``jump_z`` (missing steps are no jumps)."""
     group = [*keys, SITE]
-    steps = robust_z(first_difference(series, x, "dt", group), "diff", group)
+    diffs = first_difference(series.select(*group, "dt", x), x, "dt", group)
+    steps = robust_z(materialize(diffs, "steps"), "diff", group)
     jump = F.coalesce(F.abs("z") > jump_z, F.lit(False))
     return steps.groupBy(*group).agg(F.avg(jump.cast("double")).alias("tci"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import DAY_US, cyclic, epoch_us, floor_to, from_epoch_us
+from ..runtime import materialize
 from .clean import q
 from .quantiles import exact_medians, one_row
 
@@ -41,8 +42,11 @@ def resample_mean(df: DataFrame, ts: str, step_us: int, cols: Sequence[str], key
     means = binned.groupBy(*keys, "dt").agg(*[F.avg(q(c)).alias(c) for c in cols])
     span = one_row(df.agg(F.min(q(ts)).alias("t0"), F.max(q(ts)).alias("t1")))
     lo, hi = (epoch_us(floor_to(span[c], step_us)) for c in ("t0", "t1"))
-    grid = df.select(*map(q, keys)).distinct().withColumn(
-        "dt", from_epoch_us(F.explode(F.sequence(lo, hi, F.lit(step_us))))
+    grid = (
+        df.select(*map(q, keys))
+        .distinct()
+        .withColumn("_us", F.explode(F.sequence(lo, hi, F.lit(step_us))))
+        .select(*map(q, keys), from_epoch_us(F.col("_us")).alias("dt"))
     )
     return grid.join(means, [*keys, "dt"], "left")
 
@@ -58,11 +62,15 @@ def first_difference(df: DataFrame, x: str, order: str, keys: Sequence[str]) ->
 
 
 def robust_z(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "z") -> DataFrame:
-    """Adds 0.6745 · (x − median) / (MAD + 1e-9) per key. Two rounds of exact medians, joined back."""
+    """Adds 0.6745 · (x − median) / (MAD + 1e-9) per key.
+
+    Two rounds of exact medians, joined back; rows with their median are written once between the rounds.
+    Input that is costly to compute should be materialized by the caller.
+    """
     keys = list(keys)
     if keys:
         med = exact_medians(df, [x], keys).withColumnRenamed(x, "_med")
-        with_med = df.join(med, keys, "left")
+        with_med = materialize(df.join(med, keys, "left"), "centred")
         mad = exact_medians(with_med.withColumn("_dev", F.abs(q(x) - F.col("_med"))), ["_dev"], keys)
         centred, med_c, mad_c = with_med.join(mad, keys, "left"), F.col("_med"), F.col("_dev")
     else:

@@ -282,7 +282,7 @@ def _qbins(bins):
     return f"SELECT list_distinct(quantile_cont(x, [{edges}])) AS edges FROM xy"
 
 
-_BIN = "CAST(greatest(len(list_filter(edges, e -> e < x)) - 1, 0) AS BIGINT)"
+_BIN = "CAST(greatest(len(list_filter(edges, lambda e: e < x)) - 1, 0) AS BIGINT)"
 
 
 @query(
