@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.time import MINUTE_US, epoch_us, hour_floor
 from .clean import hour_anchors, q
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, largest_group
 
 
 def near_full_hour(micro: DataFrame, time: str, tol_minutes: float) -> DataFrame:
@@ -58,6 +58,10 @@ def align_nearest_hour(
     )
 
 
+def _cell_of(us: Column, width_us: int) -> Column:
+    return F.floor(us / F.lit(width_us)).cast("long")
+
+
 def _window_readings(
     station: DataFrame, micro: DataFrame, station_time: str, micro_time: str, cols: Sequence[str], tol_us: int, keys: list[str]
 ) -> DataFrame:
@@ -68,19 +72,16 @@ def _window_readings(
     """
     cell = 2 * tol_us
 
-    def cell_of(us: Column) -> Column:
-        return F.floor(us / F.lit(cell)).cast("long")
-
     times = station.select(*keys, q(station_time).alias("_t")).where(F.col("_t").isNotNull()).distinct()
     t_us = epoch_us(F.col("_t"))
     windows = times.select(
         *keys,
         "_t",
         t_us.alias("_t_us"),
-        F.explode(F.sequence(cell_of(t_us - tol_us), cell_of(t_us + tol_us))).alias("_cell"),
+        F.explode(F.sequence(_cell_of(t_us - tol_us, cell), _cell_of(t_us + tol_us, cell))).alias("_cell"),
     )
     readings = micro.select(*keys, *map(q, cols), epoch_us(q(micro_time)).alias("_us")).withColumn(
-        "_cell", cell_of(F.col("_us"))
+        "_cell", _cell_of(F.col("_us"), cell)
     )
     delta = F.col("_us") - F.col("_t_us")
     return (
@@ -105,7 +106,8 @@ def align_window(
     ``mc_<col>_mean``, ``mc_<col>_std`` (population) and ``mc_<col>_iqr``. Rows without readings stay.
     """
     keys = list(keys)
-    inside = _window_readings(station, micro, station_time, micro_time, cols, int(tol_minutes * MINUTE_US), keys)
+    tol_us = int(tol_minutes * MINUTE_US)
+    inside = _window_readings(station, micro, station_time, micro_time, cols, tol_us, keys)
     group = [*keys, "_t"]
     stats = inside.groupBy(*group).agg(
         F.count("*").alias("n_points"),
@@ -113,7 +115,10 @@ def align_window(
         *[F.avg(q(c)).alias(f"mc_{c}_mean") for c in cols],
         *[F.stddev_pop(q(c)).alias(f"mc_{c}_std") for c in cols],
     )
-    spread = exact_quantiles(inside, cols, [0.25, 0.75], group).select(
+    # A window lies in two cells at most, which bounds its readings without running the join.
+    cells = micro.select(*keys, _cell_of(epoch_us(q(micro_time)), 2 * tol_us).alias("_cell"))
+    bound = 2 * largest_group(cells, [*keys, "_cell"])
+    spread = exact_quantiles(inside, cols, [0.25, 0.75], group, bound).select(
         *group, *[(q(c)[1] - q(c)[0]).alias(f"mc_{c}_iqr") for c in cols]
     )
     per_window = stats.join(spread, group, "left").withColumnRenamed("_t", station_time)

@@ -1,9 +1,10 @@
-"""Exact quantiles (linear interpolation) that never gather a whole group in one task.
+"""Exact quantiles (linear interpolation) that never gather an unbounded group in one task.
 
-``percentile`` keeps every distinct value of a group in one task's memory. Here a bounded sketch first
-brackets each wanted order statistic; the second pass counts what lies below the bracket and keeps apart
-only the distinct values inside it, about ``6 / ACCURACY`` of the group. The result is exact: the sketch
-only decides where to look.
+The built-in ``percentile`` keeps every distinct value of a group in one task's memory, which is fine for
+groups known to be small, so the largest group is counted first. Beyond ``GROUP_LIMIT`` rows a bounded
+sketch brackets each wanted order statistic; a second pass counts what lies below the bracket and keeps
+apart only the distinct values inside it, about ``6 / ACCURACY`` of the group. The result is exact in both
+ways: the sketch only decides where to look.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Largest group whose values may meet in one task (about 100 bytes per value there).
+GROUP_LIMIT = 200_000
 # Rank error of the sketch is at most rows / ACCURACY; the bracket allows three times that.
 ACCURACY = 10_000
 SLACK = 3.0 / ACCURACY
@@ -20,17 +23,35 @@ HOT_ROWS = 1_000_000
 MAX_SPREAD = 4096
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group: one pass over the key columns, one number to the driver."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    keys: Sequence[str] = (),
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per key (one row in all without keys); column ``<col>`` is the array of its quantiles.
 
-    Missing values are left out; keys must not be NULL. A group without any value is absent, or all NULL
-    when there are no keys.
+    Missing values are left out; keys must not be NULL; ``probs`` must ascend. A group without any value is
+    absent or all NULL. ``largest`` is an upper bound of the group sizes where the caller knows one.
     """
     if list(probs) != sorted(probs):
         raise ValueError("probs must ascend")
     keys = list(keys)
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest > GROUP_LIMIT:
+        return _bracketed_quantiles(df, cols, probs, keys)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), wanted).alias(c) for c in cols])
+
+
+def _bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: list[str]) -> DataFrame:
     entries = [
         F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(cols)
     ]
@@ -114,9 +135,11 @@ def _beside(rows: DataFrame, sketch: DataFrame, group: list[str]) -> DataFrame:
     return salted.drop("_spread").join(copies, [*group, "_salt"])
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def exact_medians(
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), largest: int | None = None
+) -> DataFrame:
     """As :func:`exact_quantiles` with scalar columns holding the medians."""
-    q = exact_quantiles(df, cols, [0.5], keys)
+    q = exact_quantiles(df, cols, [0.5], keys, largest)
     return q.select(*keys, *[F.col(f"`{c}`")[0].alias(c) for c in cols])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.time import DAY_US, cyclic, epoch_us, floor_to, from_epoch_us
 from ..runtime import materialize
 from .clean import q
-from .quantiles import exact_medians, one_row
+from .quantiles import exact_medians, largest_group, one_row
 
 
 def time_features(df: DataFrame, ts: str) -> DataFrame:
@@ -69,9 +69,10 @@ def robust_z(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "z") -
     """
     keys = list(keys)
     if keys:
-        med = exact_medians(df, [x], keys).withColumnRenamed(x, "_med")
+        largest = largest_group(df, keys)
+        med = exact_medians(df, [x], keys, largest).withColumnRenamed(x, "_med")
         with_med = materialize(df.join(med, keys, "left"), "centred")
-        mad = exact_medians(with_med.withColumn("_dev", F.abs(q(x) - F.col("_med"))), ["_dev"], keys)
+        mad = exact_medians(with_med.withColumn("_dev", F.abs(q(x) - F.col("_med"))), ["_dev"], keys, largest)
         centred, med_c, mad_c = with_med.join(mad, keys, "left"), F.col("_med"), F.col("_dev")
     else:
         med_c = one_row(exact_medians(df, [x]).toDF("m"))["m"]
