@@ -95,20 +95,26 @@ def standardize(df: DataFrame, cols: Sequence[str], train: DataFrame | None = No
     )
 
 
-def bspline_sql(x: str, lo: str, hi: str, j: int, knots: int = 6) -> str:
-    """SQL of the j-th cubic B-spline on ``knots`` uniform knots over [lo, hi]; constant outside."""
+def bspline_position_sql(x: str, lo: str, hi: str, knots: int = 6) -> str:
+    """SQL of the place of x among ``knots`` uniform knots over [lo, hi], from 0 to knots − 1; held constant outside."""
     clamped = f"greatest(least({x}, {hi}), {lo})"
-    pos = f"coalesce(try_divide(({clamped} - {lo}) * {knots - 1}, {hi} - {lo}), 0D)"
+    return f"CASE WHEN {x} IS NOT NULL THEN coalesce(try_divide(({clamped} - {lo}) * {knots - 1}, {hi} - {lo}), 0D) END"
+
+
+def bspline_sql(pos: str, j: int) -> str:
+    """SQL of the j-th cubic B-spline at a place ``pos`` from :func:`bspline_position_sql`."""
     d = f"abs({pos} + {1 - j})"
     return (
-        f"CASE WHEN {x} IS NULL THEN NULL WHEN {d} < 1 THEN 2D / 3 - {d} * {d} + {d} * {d} * {d} / 2 "
-        f"WHEN {d} < 2 THEN (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 ELSE 0D END"
+        f"CASE WHEN {d} < 1 THEN 2D / 3 - {d} * {d} + {d} * {d} * {d} / 2 "
+        f"WHEN {d} < 2 THEN (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 WHEN {pos} IS NOT NULL THEN 0D END"
     )
 
 
 def bspline_basis(df: DataFrame, x: str, knots: int = 6, train: DataFrame | None = None) -> DataFrame:
     """Adds ``<x>_s0…``: all cubic basis columns but the last, knots spread over the training range."""
     r = one_row((train or df).agg(F.min(q(x)).cast("double").alias("lo"), F.max(q(x)).cast("double").alias("hi")))
-    with_range = df.withColumns({"_lo": r["lo"], "_hi": r["hi"]})
-    basis = {f"{x}_s{j}": F.expr(bspline_sql(f"`{x}`", "_lo", "_hi", j, knots)) for j in range(knots + 1)}
-    return with_range.withColumns(basis).drop("_lo", "_hi")
+    placed = df.withColumns({"_lo": r["lo"], "_hi": r["hi"]}).withColumn(
+        "_pos", F.expr(bspline_position_sql(f"`{x}`", "_lo", "_hi", knots))
+    )
+    basis = {f"{x}_s{j}": F.expr(bspline_sql("_pos", j)) for j in range(knots + 1)}
+    return placed.withColumns(basis).drop("_lo", "_hi", "_pos")

@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -13,9 +14,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats
+from ..runtime import run_together
 from .clean import q
 from .ordering import global_row_number
-from .features import bspline_sql
+from .features import bspline_position_sql, bspline_sql
 from .quantiles import exact_medians, exact_quantiles
 
 _VECTOR = "_features"
@@ -31,11 +33,13 @@ def _medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return dict(zip(cols, row, strict=True))
 
 
-def _prepare(exprs: Sequence[str]) -> tuple[SQLTransformer, VectorAssembler]:
+def _prepare(exprs: Sequence[str], places: Sequence[str] = ()) -> tuple[SQLTransformer, VectorAssembler]:
+    """Feature expressions into a vector; ``places`` are shared inputs named ``_p0, _p1, …``."""
     names = [f"_f{i}" for i in range(len(exprs))]
     listed = ", ".join(f"{e} AS {n}" for e, n in zip(exprs, names, strict=True))
+    shared = "".join(f", {e} AS _p{i}" for i, e in enumerate(places))
     return (
-        SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {listed} FROM (SELECT *{shared} FROM __THIS__)"),
         VectorAssembler(inputCols=names, outputCol=_VECTOR),
     )
 
@@ -50,7 +54,7 @@ class Fitted:
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.pipeline.transform(df)
-        return out.drop(*[c for c in out.columns if c == _VECTOR or (c.startswith("_f") and c[2:].isdigit())])
+        return out.drop(*[c for c in out.columns if c == _VECTOR or (c[:2] in ("_f", "_p") and c[2:].isdigit())])
 
 
 @dataclass(frozen=True)
@@ -74,14 +78,13 @@ class RidgeSpline:
         bounds = [F.min(q(c)).cast("double") for c in self.spline] + [F.max(q(c)).cast("double") for c in self.spline]
         row = df.agg(F.count("*"), F.stddev_pop(q(label)), *bounds).first()
         n, spread, limits = row[0], row[1] or 0.0, row[2:]
-        exprs = []
+        places, exprs = [], []
         for i, c in enumerate(self.spline):
             lo, hi = limits[i] or 0.0, limits[i + len(self.spline)] or 0.0
-            exprs += [
-                bspline_sql(_filled(c, med[c]), f"{lo!r}D", f"{hi!r}D", j, self.knots) for j in range(self.knots + 1)
-            ]
+            places.append(bspline_position_sql(_filled(c, med[c]), f"{lo!r}D", f"{hi!r}D", self.knots))
+            exprs += [bspline_sql(f"_p{i}", j) for j in range(self.knots + 1)]
         exprs += [_filled(c, med[c]) for c in self.numeric]
-        select, assemble = _prepare(exprs)
+        select, assemble = _prepare(exprs, places)
         # MLlib divides the squared error by n and scales the penalty with the deviation of the label.
         reg = LinearRegression(
             featuresCol=_VECTOR,
@@ -155,11 +158,12 @@ Estimator = RidgeSpline | Boosted | Forest
 
 def cv_evaluate(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
     """Mean RMSE, MAE and R² over expanding folds; ``df`` carries ``fold`` (see ``time_series_folds``)."""
-    scored = None
-    for i in range(1, k + 1):
+
+    def fold(i: int) -> DataFrame:
         model = est.fit(df.where(F.col("fold") < i), label)
-        part = model.transform(df.where(F.col("fold") == i)).select("fold", q(label).alias("_y"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
+        return model.transform(df.where(F.col("fold") == i)).select("fold", q(label).alias("_y"), "prediction")
+
+    scored = reduce(DataFrame.unionByName, run_together([partial(fold, i) for i in range(1, k + 1)]))
     y, p = F.col("_y"), F.col("prediction")
     per_fold = scored.groupBy("fold").agg(
         stats.rmse(y, p).alias("rmse"), stats.mae(y, p).alias("mae"), stats.r_squared(y, p).alias("r2")

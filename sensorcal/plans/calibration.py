@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +12,7 @@ from ..operators.calibrate import apply_posthoc, calibration_summary, gated_post
 from ..operators.clean import clip_nonneg, exclude_days, q
 from ..operators.features import deploy_features, derived_features
 from ..operators.ordering import time_series_folds, time_split
-from ..runtime import materialize
+from ..runtime import materialize, run_together
 from ..schema import PosthocParams
 
 
@@ -87,10 +87,10 @@ def calibrate_channel(
 def calibrate_channels(aligned: DataFrame, channels: Sequence[str], weather: Sequence[str], time: str, residual: Sequence[str] = (), **kw) -> DataFrame:
     """Long series of all channels; the aligned table is written once and only channels are looped over."""
     aligned = materialize(aligned, "aligned")
-    parts = [
-        calibrate_channel(aligned, t, channels, weather, time, residual=t in residual, **kw)[0] for t in channels
+    jobs = [
+        partial(calibrate_channel, aligned, t, channels, weather, time, residual=t in residual, **kw) for t in channels
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [series for series, _ in run_together(jobs)])
 
 
 def summarize(series: DataFrame) -> DataFrame:

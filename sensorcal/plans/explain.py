@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from ..operators import model as m
 from ..operators.clean import exclude_days, q
 from ..operators.features import derived_features, explain_features
 from ..operators.ordering import time_series_folds, time_split
-from ..runtime import materialize
+from ..runtime import materialize, run_together
 
 
 def explain_channel(
@@ -51,7 +52,8 @@ def explain_channel(
 def explain_all_channels(aligned: DataFrame, channels: Sequence[str], weather: Sequence[str], time: str, id_cols: Sequence[str] = (), **kw) -> DataFrame:
     """Summary table with one row per channel. The aligned table is written once; only channels are looped over."""
     aligned = materialize(aligned, "aligned")
-    rows = [explain_channel(aligned, t, channels, weather, time, id_cols, **kw)[2] for t in channels]
+    jobs = [partial(explain_channel, aligned, t, channels, weather, time, id_cols, **kw) for t in channels]
+    rows = [summary for _, _, summary in run_together(jobs)]
     types = {str: "string", int: "long", float: "double"}
     schema = ", ".join(f"{c} {types[type(v)]}" for c, v in rows[0].items())
     return aligned.sparkSession.createDataFrame(rows, schema)

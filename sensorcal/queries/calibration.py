@@ -75,12 +75,12 @@ def calibrate_fallback(spark, sf_dir):
     with_views(
         ["pairs"],
         GATE,
-        f"SELECT {ID}, part, {r6('y_true', 'truth')}, {r6('y_raw', 'raw')}, {r6('calibrated', 'calibrated')} FROM delivered",
+        f"SELECT {ID}, part, {r6('y_true', 'truth')}, {r6('calibrated', 'calibrated')} FROM delivered",
     ),
 )
 def calibrate_apply(spark, sf_dir):
     return _delivered(spark, sf_dir).select(
-        *fx.PAIR_ORDER[1:], "part", F.col("y_true").alias("truth"), F.col("y_raw").alias("raw"), "calibrated"
+        *fx.PAIR_ORDER[1:], "part", F.col("y_true").alias("truth"), "calibrated"
     )
 
 

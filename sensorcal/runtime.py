@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+R = TypeVar("R")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the session's checkpoint folder, else a fresh local one (tests)."""
@@ -31,3 +37,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_together(jobs: Sequence[Callable[[], R]], parallelism: int = 4) -> list[R]:
+    """Results of independent driver-side jobs (model fits), submitted from a few threads so that the cluster stays busy."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(job)(), jobs, chunksize=1)
