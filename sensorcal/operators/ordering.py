@@ -45,16 +45,28 @@ def tail_split_size(n: Column, ratio: float, least: int = 50) -> Column:
     return F.greatest(F.lit(least), n - n_cal).cast("long")
 
 
-def time_split(df: DataFrame, order_cols: Sequence[str], ratio: float = 0.2, cal_ratio: float = 0.2) -> DataFrame:
-    """Adds ``part``: ``test`` for the last part by time; training rows are ``fit`` or, in their tail, ``cal``."""
+def _fold(rn: Column, n: Column, k: int) -> Column:
+    """Fold of row ``rn`` among the first ``n``: the last k blocks of n div (k + 1) rows are folds 1..k, the rest is 0."""
+    size = F.floor(n / F.lit(k + 1))
+    from_end = F.floor((n - rn) / F.greatest(size, F.lit(1)))
+    return F.when(size > 0, F.greatest(F.lit(0), F.lit(k) - from_end)).otherwise(F.lit(0)).cast("int")
+
+
+def time_split(
+    df: DataFrame, order_cols: Sequence[str], ratio: float = 0.2, cal_ratio: float = 0.2, folds: int | None = None
+) -> DataFrame:
+    """Adds ``part``: ``test`` for the last part by time; training rows are ``fit`` or, in their tail, ``cal``.
+
+    With ``folds`` the training rows also get their cross-validation ``fold`` from the same numbering.
+    """
     numbered = global_row_number(df, order_cols, "_rn")
+    rn = F.col("_rn")
     n_train = F.col("_rn_total") - holdout_size(F.col("_rn_total"), ratio)
-    part = (
-        F.when(F.col("_rn") > n_train, "test")
-        .when(F.col("_rn") > tail_split_size(n_train, cal_ratio), "cal")
-        .otherwise("fit")
-    )
-    return numbered.withColumn("part", part).drop("_rn", "_rn_total")
+    part = F.when(rn > n_train, "test").when(rn > tail_split_size(n_train, cal_ratio), "cal").otherwise("fit")
+    added = {"part": part}
+    if folds is not None:
+        added["fold"] = F.when(rn <= n_train, _fold(rn, n_train, folds))
+    return numbered.withColumns(added).drop("_rn", "_rn_total")
 
 
 def time_series_folds(df: DataFrame, order_cols: Sequence[str], k: int = 5) -> DataFrame:
@@ -63,7 +75,4 @@ def time_series_folds(df: DataFrame, order_cols: Sequence[str], k: int = 5) -> D
     Fold i is trained on every row with a smaller fold number.
     """
     numbered = global_row_number(df, order_cols, "_rn")
-    size = F.expr(f"_rn_total div {k + 1}")
-    from_end = F.expr(f"(_rn_total - _rn) div greatest(_rn_total div {k + 1}, 1)")
-    fold = F.when(size > 0, F.greatest(F.lit(0), F.lit(k) - from_end)).otherwise(F.lit(0)).cast("int")
-    return numbered.withColumn("fold", fold).drop("_rn", "_rn_total")
+    return numbered.withColumn("fold", _fold(F.col("_rn"), F.col("_rn_total"), k)).drop("_rn", "_rn_total")

@@ -8,10 +8,10 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import model as m
-from ..operators.calibrate import apply_posthoc, calibration_summary, gated_posthoc, with_fallback
+from ..operators.calibrate import apply_posthoc, calibration_summary, fit_posthoc, gated_posthoc, with_fallback
 from ..operators.clean import clip_nonneg, exclude_days, q
 from ..operators.features import deploy_features, derived_features
-from ..operators.ordering import time_series_folds, time_split
+from ..operators.ordering import time_split
 from ..runtime import materialize, run_together
 from ..schema import PosthocParams
 
@@ -28,15 +28,19 @@ def calibrate_channel(
     k: int = 5,
     forest: Mapping | None = None,
     excluded: Mapping[str, Sequence[str]] | None = None,
+    correction: str = "gated",
     posthoc: PosthocParams = PosthocParams(),
 ) -> tuple[DataFrame, m.Fitted]:
     """Delivered series of one channel and its model.
 
     Columns: ids, ``time, target, part, truth, raw, calibrated, used_fallback, best_model``; ``part`` is NULL on
     rows outside the training pool (no truth, excluded day), which are calibrated all the same.
-    The gate of the linear correction is decided with a model that has not seen the calibration rows; the
-    delivered model is trained on the whole training part. ``residual`` models the difference truth − raw.
+    ``correction`` is ``none``, ``linear`` (fitted on the training part) or ``gated``: fitted on the tail of the
+    training part with a model that has not seen it, and used only when it helps there. The delivered model is
+    trained on the whole training part. ``residual`` models the difference truth − raw.
     """
+    if correction not in ("none", "linear", "gated"):
+        raise ValueError(f"unknown correction {correction!r}")
     ids = [*id_cols, time]
     raw = f"mc_{target}_mean"
     df = derived_features(aligned.where("matched"), target, weather[0])
@@ -44,8 +48,8 @@ def calibrate_channel(
     df = df.withColumns({"truth": q(target), "raw": q(raw)})
     label = (F.col("truth") - F.col("raw")) if residual else F.col("truth")
     pool = exclude_days(df.withColumn("label", label).where("label is not null and raw is not null"), time, excluded or {}, F.lit(target))
-    split = time_split(pool, [time, *id_cols])
-    train = time_series_folds(split.where("part <> 'test'"), [time, *id_cols], k)
+    split = time_split(pool, [time, *id_cols], folds=k)
+    train = split.where("part <> 'test'")
     splines = tuple(c for c in (raw, f"mc_{weather[0]}_mean", "t_days") if c in feats)
     ridge = m.RidgeSpline(splines, tuple(c for c in feats if c not in splines))
     best, _ = m.model_select([ridge, m.Forest(tuple(feats), **(forest or {}))], train, "label", k)
@@ -54,20 +58,26 @@ def calibrate_channel(
         level = F.col("prediction") + F.col("raw") if residual else F.col("prediction")
         return model.transform(rows).withColumn("calibrated", clip_nonneg(level) if clip else level).drop("prediction")
 
-    early = best.fit(train.where("part = 'fit'"), "label")
-    gate = gated_posthoc(
-        delivered(early, train.select(*df.columns, "part")),
-        "truth",
-        "calibrated",
-        min_gain=posthoc.gate(target),
-        min_points=posthoc.min_points,
-        min_train=posthoc.min_train,
-        clip=clip,
-    )
     final = best.fit(train, "label")
+    columns = [*df.columns, "part"]
+    line = None
+    if correction == "linear":
+        line = fit_posthoc(delivered(final, train.select(*map(q, columns))), "truth", "calibrated")
+    elif correction == "gated":
+        early = best.fit(train.where("part = 'fit'"), "label")
+        line = gated_posthoc(
+            delivered(early, train.select(*map(q, columns))),
+            "truth",
+            "calibrated",
+            min_gain=posthoc.gate(target),
+            min_points=posthoc.min_points,
+            min_train=posthoc.min_train,
+            clip=clip,
+        )
     parts = split.select(*ids, "part")
     full = delivered(final, df).join(parts, ids, "left")
-    full = apply_posthoc(full, gate, "calibrated", "calibrated", clip=clip)
+    if line is not None:
+        full = apply_posthoc(full, line, "calibrated", "calibrated", clip=clip)
     full = with_fallback(full, "truth", "raw", "calibrated", judge=F.col("part") == "test")
     return (
         full.select(

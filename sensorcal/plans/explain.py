@@ -11,7 +11,7 @@ from ..functions import stats
 from ..operators import model as m
 from ..operators.clean import exclude_days, q
 from ..operators.features import derived_features, explain_features
-from ..operators.ordering import time_series_folds, time_split
+from ..operators.ordering import time_split
 from ..runtime import materialize, run_together
 
 
@@ -31,8 +31,8 @@ def explain_channel(
     feats = explain_features(df.columns, target, channels, weather, channels[0])
     df = df.where("matched").withColumn("error", q(f"mc_{target}_mean") - q(target)).where("error is not null")
     df = exclude_days(df, time, excluded or {}, F.lit(target))
-    split = time_split(df, [time, *id_cols])
-    train = time_series_folds(split.where("part <> 'test'"), [time, *id_cols], k)
+    split = time_split(df, [time, *id_cols], folds=k)
+    train = split.where("part <> 'test'")
     splines = tuple(c for c in (channels[0], f"mc_{weather[0]}_mean", "t_days") if c in feats)
     ridge = m.RidgeSpline(splines, tuple(c for c in feats if c not in splines))
     best, scores = m.model_select([ridge, m.Boosted(tuple(feats), **(boosted or {}))], train, "error", k)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import align, bins, metrics
+from ..plans.agreement import compare_sensor
+from ..schema import PRESSURE_TO_PA, SensorSchema
 from .base import big, query, r6, with_views
-from .readings import ANCHORS, NEAREST, micros
+from .readings import ANCHORS, DEDUPED, NEAREST, PARSED, micros
 
 HOURS = {
     "a": ANCHORS.format(t="ts", src="micro"),
@@ -330,3 +332,30 @@ def median_split_2x2(spark, sf_dir):
 @query("seeded_sample")
 def seeded_sample(spark, sf_dir):
     return bins.seeded_sample(residuals(spark, sf_dir), fx.PAIR_ORDER, 6000)
+
+
+CLEAN_THEN_ALIGN = {
+    "parsed": PARSED,
+    "deduped": DEDUPED,
+    "ranged": "SELECT time, CASE WHEN v >= 0 THEN v END AS v FROM deduped",
+    "lim": "SELECT quantile_cont(v, 0.005) AS v0, quantile_cont(v, 0.995) AS v1 FROM ranged",
+    "micro": "SELECT time AS ts, CASE WHEN v IS NOT NULL THEN greatest(v0, least(v1, v)) END AS v FROM ranged, lim",
+} | ALIGNED
+
+
+@query(
+    "compare_sensor",
+    with_views(
+        ["dirty", "station"],
+        CLEAN_THEN_ALIGN,
+        f"SELECT {big('count(*)', 'n')}, {r6('avg(abs(res))', 'mae')}, {r6('sqrt(avg(res * res))', 'rmse')}, {r6('avg(res)', 'bias')}, "
+        f"{r6('corr(company, station)', 'r')}, {r6('regr_slope(company, station)', 'slope')}, "
+        f"{r6('regr_intercept(company, station)', 'intercept')} FROM matched_rows",
+    ),
+)
+def compare_sensor_flow(spark, sf_dir):
+    """Raw text to correlation with the station in one flow."""
+    raw = fx.dirty(spark, sf_dir).withColumnsRenamed({"time_s": "time", "v_s": "v", "pressure_s": "pressure"})
+    schema = SensorSchema("time", ("v",), ("pressure",))
+    ranges = {"v": (0.0, None), "pressure": (8.0e4, 1.1e5)}
+    return compare_sensor(fx.station(spark, sf_dir), raw, schema, "v", ranges, {"pressure": PRESSURE_TO_PA})[2]

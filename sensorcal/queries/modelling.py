@@ -139,10 +139,10 @@ SPLINES, NUMERIC = ("y_raw", "hum", "t_days"), ("sin_month", "cos_month", "l_lin
 ALL = (*SPLINES, *NUMERIC)
 
 
-def model_rows(spark, sf_dir):
-    """Pairs with calendar features, split by time; training rows carry fold numbers."""
+def model_rows(spark, sf_dir, k=None):
+    """Pairs with calendar features, split by time; with ``k`` the training rows carry fold numbers."""
     df = timeseries.time_features(fx.pairs(spark, sf_dir), "dt")
-    return ordering.time_split(df, fx.PAIR_ORDER)
+    return ordering.time_split(df, fx.PAIR_ORDER, folds=k)
 
 
 def _scores(est, spark, sf_dir):
@@ -171,8 +171,7 @@ def rf_fit(spark, sf_dir):
 
 
 def folds(spark, sf_dir, k):
-    train = model_rows(spark, sf_dir).where("part <> 'test'")
-    return ordering.time_series_folds(train, fx.PAIR_ORDER, k)
+    return model_rows(spark, sf_dir, k).where("part <> 'test'")
 
 
 @query("cv_evaluate")

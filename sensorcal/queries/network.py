@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.time import DAY_US
 from ..operators import network as net, timeseries
-from ..runtime import materialize
+from ..plans.network import score_network
+from ..runtime import materialize, scratch_path
 from ..schema import ScoreParams
+from ..sources.files import write_json
 from .base import big, query, r6, with_views
 from .series import grid_sql
 
@@ -243,3 +245,23 @@ def pivot_deviation(spark, sf_dir):
     hourly = fx.station_wide(spark, sf_dir).withColumnRenamed("hour", "dt")
     entries = [F.struct(F.lit(t).alias("site_id"), F.col(t).alias("x")) for t in fx.EVENT_TYPES]
     return net.pivot_by_site(hourly.select("dt", F.inline(F.array(*entries))), "x", fx.EVENT_TYPES)
+
+
+@query(
+    "network_report",
+    with_views(
+        VIEWS,
+        SCORES,
+        f"SELECT channel, {r6('any_value(threshold)', 'threshold')}, {big('count(*) FILTER (ri < threshold)', 'n_anomalous')}, "
+        "arg_min(site_id, ri) AS worst_site FROM scores JOIN thr USING (channel) GROUP BY channel",
+    ),
+)
+def network_report(spark, sf_dir):
+    """The whole flow from readings to the report, written as JSON and read back."""
+    result = score_network(
+        fx.site_readings(spark, sf_dir), fx.sites(spark, sf_dir), "ts", CHANNELS, ["hum", "wind"], DAY_US, PARAMS
+    )
+    path = scratch_path(spark, "report")
+    write_json(result.report, path)
+    back = spark.read.schema(result.report.schema).json(path)
+    return back.select("channel", "threshold", "n_anomalous", "worst_site")
