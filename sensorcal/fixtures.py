@@ -16,43 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reading():
+    """Event values on a scale that keeps means away from rounding ties."""
+    return F.col("value") / 0.97
+
+
 def _hum():
     return F.get_json_object("props", "$.k").cast("double")
 
 
 def micro(spark, sf_dir) -> DataFrame:
     """Low-cost sensor: all events as irregular readings with humidity."""
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("value").alias("v"), _hum().alias("hum"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", reading().alias("v"), _hum().alias("hum"))
 
 
 def station(spark, sf_dir) -> DataFrame:
     """Reference: hourly mean over all events."""
     ev = table(spark, sf_dir, "events")
-    return ev.groupBy(hour_floor(F.col("ts")).alias("hour")).agg(F.avg("value").alias("y"))
+    return ev.groupBy(hour_floor(F.col("ts")).alias("hour")).agg(F.avg(reading()).alias("y"))
 
 
 def micro_wide(spark, sf_dir) -> DataFrame:
     """One channel per event type, mostly missing, plus humidity."""
     ev = table(spark, sf_dir, "events")
-    channels = [F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in EVENT_TYPES]
+    channels = [F.when(F.col("event_type") == t, reading()).alias(t) for t in EVENT_TYPES]
     return ev.select("event_id", "ts", *channels, _hum().alias("hum"))
 
 
 def station_wide(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    channels = [F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES]
+    channels = [F.avg(F.when(F.col("event_type") == t, reading())).alias(t) for t in EVENT_TYPES]
     return ev.groupBy(hour_floor(F.col("ts")).alias("hour")).agg(*channels)
 
 
 def micro_keyed(spark, sf_dir) -> DataFrame:
     """One sensor per user."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor"), "event_id", "ts", F.col("value").alias("v"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor"), "event_id", "ts", reading().alias("v"))
 
 
 def station_keyed(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(F.col("user_id").alias("sensor"), hour_floor(F.col("ts")).alias("hour")).agg(
-        F.avg("value").alias("y")
+        F.avg(reading()).alias("y")
     )
 
 
@@ -63,7 +68,7 @@ def site_readings(spark, sf_dir) -> DataFrame:
         "ts",
         F.col("user_id").alias("site_id"),
         "event_type",
-        F.col("value").alias("v"),
+        reading().alias("v"),
         _hum().alias("hum"),
         F.minute("ts").cast("double").alias("wind"),
     )
@@ -92,7 +97,7 @@ def dirty(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.when(e % 97 == 0, "n/a").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:00")).alias("time_s"),
-        F.when(e % 89 == 0, "bad").when(e % 83 == 0, "-5").otherwise(F.col("value").cast("string")).alias("v_s"),
+        F.when(e % 89 == 0, "bad").when(e % 83 == 0, "-5").otherwise(reading().cast("string")).alias("v_s"),
         (F.lit(950) + _hum().cast("int")).cast("string").alias("pressure_s"),
         F.col("event_type").alias("tag"),
     )
@@ -111,8 +116,8 @@ def pairs(spark, sf_dir) -> DataFrame:
         "l_suppkey",
         F.col("l_shipdate").alias("dt"),
         F.col("l_returnflag").alias("grp"),
-        (price / 1000.0).alias("y_true"),
-        (price * (1 - F.col("l_discount")) / 1000.0 + F.col("l_quantity") * 0.3).alias("y_raw"),
+        (price / 977.0).alias("y_true"),
+        (price * (1 - F.col("l_discount")) / 977.0 + F.col("l_quantity") * 0.3).alias("y_raw"),
         (F.col("l_tax") * 100).alias("hum"),
     )
 
@@ -136,27 +141,27 @@ _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 # The same views in SQL, to be used as common table expressions.
 SQL = {
-    "micro": f"SELECT event_id, ts, value AS v, {_K} AS hum FROM events",
-    "station": "SELECT date_trunc('hour', ts) AS hour, avg(value) AS y FROM events GROUP BY 1",
+    "micro": f"SELECT event_id, ts, value / 0.97::DOUBLE AS v, {_K} AS hum FROM events",
+    "station": "SELECT date_trunc('hour', ts) AS hour, avg(value / 0.97::DOUBLE) AS y FROM events GROUP BY 1",
     "micro_wide": "SELECT event_id, ts, "
-    + ", ".join(f"CASE WHEN event_type = '{t}' THEN value END AS \"{t}\"" for t in EVENT_TYPES)
+    + ", ".join(f"CASE WHEN event_type = '{t}' THEN value / 0.97::DOUBLE END AS \"{t}\"" for t in EVENT_TYPES)
     + f", {_K} AS hum FROM events",
     "station_wide": "SELECT date_trunc('hour', ts) AS hour, "
-    + ", ".join(f"avg(CASE WHEN event_type = '{t}' THEN value END) AS \"{t}\"" for t in EVENT_TYPES)
+    + ", ".join(f"avg(CASE WHEN event_type = '{t}' THEN value / 0.97::DOUBLE END) AS \"{t}\"" for t in EVENT_TYPES)
     + " FROM events GROUP BY 1",
-    "micro_keyed": "SELECT user_id AS sensor, event_id, ts, value AS v FROM events",
-    "station_keyed": "SELECT user_id AS sensor, date_trunc('hour', ts) AS hour, avg(value) AS y FROM events GROUP BY 1, 2",
-    "site_readings": f"SELECT event_id, ts, user_id AS site_id, event_type, value AS v, {_K} AS hum, "
+    "micro_keyed": "SELECT user_id AS sensor, event_id, ts, value / 0.97::DOUBLE AS v FROM events",
+    "station_keyed": "SELECT user_id AS sensor, date_trunc('hour', ts) AS hour, avg(value / 0.97::DOUBLE) AS y FROM events GROUP BY 1, 2",
+    "site_readings": f"SELECT event_id, ts, user_id AS site_id, event_type, value / 0.97::DOUBLE AS v, {_K} AS hum, "
     "CAST(minute(ts) AS DOUBLE) AS wind FROM events",
     "sites": "SELECT site_id, 30.0::DOUBLE + (a - floor(a)) * 0.1::DOUBLE AS lat, 114.0::DOUBLE + (b - floor(b)) * 0.1::DOUBLE AS lon "
     "FROM (SELECT user_id AS site_id, CAST(user_id * user_id AS DOUBLE) * 0.6180339887498949::DOUBLE AS a, "
     "CAST(user_id * user_id AS DOUBLE) * 0.7548776662466927::DOUBLE AS b FROM (SELECT DISTINCT user_id FROM events))",
     "dirty": "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:00') END AS time_s, "
-    "CASE WHEN event_id % 89 = 0 THEN 'bad' WHEN event_id % 83 = 0 THEN '-5' ELSE CAST(value AS VARCHAR) END AS v_s, "
+    "CASE WHEN event_id % 89 = 0 THEN 'bad' WHEN event_id % 83 = 0 THEN '-5' ELSE CAST(value / 0.97::DOUBLE AS VARCHAR) END AS v_s, "
     f"CAST(950 + CAST({_K} AS INT) AS VARCHAR) AS pressure_s, event_type AS tag FROM events",
     "pairs": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS dt, l_returnflag AS grp, "
-    "l_extendedprice / 1000.0::DOUBLE AS y_true, "
-    "l_extendedprice * (1 - l_discount) / 1000.0::DOUBLE + l_quantity * 0.3::DOUBLE AS y_raw, l_tax * 100 AS hum FROM lineitem",
+    "l_extendedprice / 977.0::DOUBLE AS y_true, "
+    "l_extendedprice * (1 - l_discount) / 977.0::DOUBLE + l_quantity * 0.3::DOUBLE AS y_raw, l_tax * 100 AS hum FROM lineitem",
     "importance": "SELECT l_returnflag || l_linestatus AS target, 's' || CAST(l_suppkey AS VARCHAR) AS feature, "
     "round(avg(l_discount) - 0.05::DOUBLE, 9) AS importance_mean, round(stddev_pop(l_discount), 9) AS importance_std "
     "FROM lineitem GROUP BY 1, 2",

@@ -163,7 +163,7 @@ def cv_evaluate(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
         model = est.fit(df.where(F.col("fold") < i), label)
         return model.transform(df.where(F.col("fold") == i)).select("fold", q(label).alias("_y"), "prediction")
 
-    scored = reduce(DataFrame.unionByName, run_together([partial(fold, i) for i in range(1, k + 1)]))
+    scored = reduce(DataFrame.unionByName, run_together(df.sparkSession, [partial(fold, i) for i in range(1, k + 1)]))
     y, p = F.col("_y"), F.col("prediction")
     per_fold = scored.groupBy("fold").agg(
         stats.rmse(y, p).alias("rmse"), stats.mae(y, p).alias("mae"), stats.r_squared(y, p).alias("r2")

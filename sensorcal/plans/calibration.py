@@ -100,7 +100,7 @@ def calibrate_channels(aligned: DataFrame, channels: Sequence[str], weather: Seq
     jobs = [
         partial(calibrate_channel, aligned, t, channels, weather, time, residual=t in residual, **kw) for t in channels
     ]
-    return reduce(DataFrame.unionByName, [series for series, _ in run_together(jobs)])
+    return reduce(DataFrame.unionByName, [series for series, _ in run_together(aligned.sparkSession, jobs)])
 
 
 def summarize(series: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def explain_all_channels(aligned: DataFrame, channels: Sequence[str], weather: S
     """Summary table with one row per channel. The aligned table is written once; only channels are looped over."""
     aligned = materialize(aligned, "aligned")
     jobs = [partial(explain_channel, aligned, t, channels, weather, time, id_cols, **kw) for t in channels]
-    rows = [summary for _, _, summary in run_together(jobs)]
+    rows = [summary for _, _, summary in run_together(aligned.sparkSession, jobs)]
     types = {str: "string", int: "long", float: "double"}
     schema = ", ".join(f"{c} {types[type(v)]}" for c, v in rows[0].items())
     return aligned.sparkSession.createDataFrame(rows, schema)

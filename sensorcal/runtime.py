@@ -39,7 +39,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def run_together(jobs: Sequence[Callable[[], R]], parallelism: int = 4) -> list[R]:
+def run_together(spark: SparkSession, jobs: Sequence[Callable[[], R]], parallelism: int = 4) -> list[R]:
     """Results of independent driver-side jobs (model fits), submitted from a few threads so that the cluster stays busy."""
     with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs, chunksize=1)
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs, chunksize=1)

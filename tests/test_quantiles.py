@@ -1,0 +1,58 @@
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from sensorcal.operators import quantiles as Q
+
+PROBS = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+
+
+@pytest.fixture
+def bracketed(monkeypatch):
+    """Force the way for groups beyond the limit, with hot groups spread."""
+    monkeypatch.setattr(Q, "GROUP_LIMIT", 0)
+    monkeypatch.setattr(Q, "HOT_ROWS", 50)
+
+
+def frame(spark, values, keys=None):
+    keys = keys if keys is not None else ["a"] * len(values)
+    rows = [(k, None if v is None else float(v)) for k, v in zip(keys, values, strict=True)]
+    return spark.createDataFrame(rows, "k string, v double")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
+def test_bracketed_equals_numpy(spark, bracketed, values):
+    got = Q.exact_quantiles(frame(spark, values), ["v"], PROBS).first()[0]
+    present = [v for v in values if v is not None]
+    if present:
+        np.testing.assert_allclose(got, np.quantile(np.array(present, float), PROBS), rtol=1e-12, atol=1e-9)
+    else:
+        assert got is None or all(v is None for v in got)
+
+
+def test_skewed_groups_and_heavy_ties(spark, bracketed):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": np.where(rng.random(30_000) < 0.8, "hot", "cold"), "v": rng.normal(size=30_000)})
+    pdf.loc[rng.random(30_000) < 0.4, "v"] = 0.25
+    got = Q.exact_quantiles(spark.createDataFrame(pdf), ["v"], PROBS, ["k"]).toPandas().set_index("k")["v"]
+    for k, g in pdf.groupby("k"):
+        np.testing.assert_allclose(got[k], np.quantile(g["v"], PROBS), rtol=1e-12)
+
+
+def test_both_ways_agree_on_several_columns(spark, monkeypatch):
+    df = spark.range(5000).select(
+        (F.col("id") % 7).alias("k"), F.sin("id").alias("x"), F.when(F.col("id") % 3 > 0, F.cos("id")).alias("y")
+    )
+    small = Q.exact_quantiles(df, ["x", "y"], [0.25, 0.75], ["k"]).toPandas().sort_values("k", ignore_index=True)
+    monkeypatch.setattr(Q, "GROUP_LIMIT", 10)
+    large = Q.exact_quantiles(df, ["x", "y"], [0.25, 0.75], ["k"]).toPandas().sort_values("k", ignore_index=True)
+    for c in ("x", "y"):
+        np.testing.assert_allclose(np.stack(small[c]), np.stack(large[c]), rtol=1e-12)
+
+
+def test_probs_must_ascend(spark):
+    with pytest.raises(ValueError):
+        Q.exact_quantiles(frame(spark, [1]), ["v"], [0.5, 0.1])
