@@ -16,9 +16,9 @@ def quantile_edges(df: DataFrame, x: str, bins: int) -> Column:
     return F.array_distinct(one_row(edges)["e"])
 
 
-def bin_of(x: Column, edges: Column) -> Column:
-    """Right-closed bin index from 0; the smallest value belongs to the first bin."""
-    below = F.size(F.filter(edges, lambda e: e < x))
+def bin_of(x: Column, edges: Column, bins: int) -> Column:
+    """Right-closed bin index from 0 among at most ``bins`` + 1 edges; the smallest value belongs to the first bin."""
+    below = sum((F.when(F.get(edges, i) < x, 1).otherwise(0) for i in range(bins + 1)), F.lit(0))
     return F.greatest(below - 1, F.lit(0)).cast("int")
 
 
@@ -27,7 +27,7 @@ def quantile_bin_trend(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFra
     df = drop_any_null(df, [x, y]).select(q(x).alias("x"), q(y).alias("y"))
     return (
         df.withColumn("_edges", quantile_edges(df, "x", bins))
-        .withColumn("bin", bin_of(F.col("x"), F.col("_edges")))
+        .withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins))
         .groupBy("bin")
         .agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
     )
@@ -45,7 +45,7 @@ def interaction_trend(df: DataFrame, x: str, y: str, split: str, bins: int = 15)
     return (
         df.withColumn("half", _split(df, ["s"])[0])
         .withColumn("_edges", quantile_edges(df, "x", bins))
-        .withColumn("bin", bin_of(F.col("x"), F.col("_edges")))
+        .withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins))
         .groupBy("half", "bin")
         .agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
     )

@@ -102,12 +102,12 @@ def bspline_position_sql(x: str, lo: str, hi: str, knots: int = 6) -> str:
 
 
 def bspline_sql(pos: str, j: int) -> str:
-    """SQL of the j-th cubic B-spline at a place ``pos`` from :func:`bspline_position_sql`."""
+    """SQL of the j-th cubic B-spline at a present place ``pos`` from :func:`bspline_position_sql`.
+
+    Written with two clipped cubes, which keeps the generated code of many basis columns small.
+    """
     d = f"abs({pos} + {1 - j})"
-    return (
-        f"CASE WHEN {d} < 1 THEN 2D / 3 - {d} * {d} + {d} * {d} * {d} / 2 "
-        f"WHEN {d} < 2 THEN (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 WHEN {pos} IS NOT NULL THEN 0D END"
-    )
+    return f"(pow(greatest(2D - {d}, 0D), 3) - 4 * pow(greatest(1D - {d}, 0D), 3)) / 6D"
 
 
 def bspline_basis(df: DataFrame, x: str, knots: int = 6, train: DataFrame | None = None) -> DataFrame:
@@ -116,5 +116,7 @@ def bspline_basis(df: DataFrame, x: str, knots: int = 6, train: DataFrame | None
     placed = df.withColumns({"_lo": r["lo"], "_hi": r["hi"]}).withColumn(
         "_pos", F.expr(bspline_position_sql(f"`{x}`", "_lo", "_hi", knots))
     )
-    basis = {f"{x}_s{j}": F.expr(bspline_sql("_pos", j)) for j in range(knots + 1)}
+    basis = {
+        f"{x}_s{j}": F.when(F.col("_pos").isNotNull(), F.expr(bspline_sql("_pos", j))) for j in range(knots + 1)
+    }
     return placed.withColumns(basis).drop("_lo", "_hi", "_pos")

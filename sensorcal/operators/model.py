@@ -27,9 +27,9 @@ def _filled(name: str, median: float | None) -> str:
     return f"coalesce(CAST(`{name}` AS DOUBLE), {float(median or 0.0)!r}D)"
 
 
-def _medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+def _medians(df: DataFrame, cols: Sequence[str], rows: int | None = None) -> dict[str, float | None]:
     """One row of medians to the driver: as many numbers as features."""
-    row = exact_medians(df.select(*map(q, cols)), cols).first()
+    row = exact_medians(df.select(*map(q, cols)), cols, largest=rows).first()
     return dict(zip(cols, row, strict=True))
 
 
@@ -73,11 +73,11 @@ class RidgeSpline:
 
     def fit(self, df: DataFrame, label: str) -> Fitted:
         df = df.where(q(label).isNotNull())
-        med = _medians(df, self.features)
-        # Filling with a median leaves the range of a column as it is.
+        # Filling with a median, below, leaves the range of a column as it is.
         bounds = [F.min(q(c)).cast("double") for c in self.spline] + [F.max(q(c)).cast("double") for c in self.spline]
         row = df.agg(F.count("*"), F.stddev_pop(q(label)), *bounds).first()
         n, spread, limits = row[0], row[1] or 0.0, row[2:]
+        med = _medians(df, self.features, n)
         places, exprs = [], []
         for i, c in enumerate(self.spline):
             lo, hi = limits[i] or 0.0, limits[i + len(self.spline)] or 0.0
