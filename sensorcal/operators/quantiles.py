@@ -98,7 +98,7 @@ def _bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
     # A rank just outside the bracket is the nearest value below or above it; further out the sketch was wrong.
     missed = F.max(
         ((F.col("_zone") == 0) & (F.col("_cum") > rank0 + 1))
-        | ((F.col("_zone") == 2) & (F.col("_cum") - F.col("_k") < rank0))
+        | ((F.col("_zone") == 2) & (F.col("_cum") - F.col("_k") < F.ceil(pos)))
     )
     q = (
         counted.withColumn("_cum", F.sum("_k").over(seen))
