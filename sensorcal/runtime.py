@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cache
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
@@ -16,11 +17,12 @@ R = TypeVar("R")
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the session's checkpoint folder, else a fresh local one (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sensorcal-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sensorcal-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
