@@ -16,8 +16,25 @@ R = TypeVar("R")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the session's checkpoint folder, else a fresh local one (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir()
+    """Folder for cut lineage: ``spark.checkpoint.dir``, else the folder set on the context, else the warehouse.
+
+    Only a session whose tasks run inside the driver's machine (a ``local`` master, as in tests) may fall back to
+    a folder of this machine. On a cluster a warehouse on the local disk is refused: executors would each write
+    to their own disk and readers would miss rows.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    return fallback_dir(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir", ""))
+
+
+def fallback_dir(master: str, warehouse: str) -> str:
+    """The folder where neither the session nor the context names one."""
+    if master.split("[")[0] == "local":
+        return _local_dir()
+    if warehouse and "://" in warehouse and not warehouse.startswith("file:"):
+        return f"{warehouse.rstrip('/')}/_scratch"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 @cache
@@ -38,7 +55,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables (as ``materialize`` returned them) that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_together(spark: SparkSession, jobs: Sequence[Callable[[], R]], parallelism: int = 4) -> list[R]:
