@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import materialize, release
+from .common import WORD, fresh
 from .components import components
 from .shingles import Shingler
 
@@ -219,17 +220,8 @@ def _links(pairs: DataFrame, docs: DataFrame, units: DataFrame) -> DataFrame:
     return out
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id), a row for each row of ``docs``.
-
-    Two documents link when they share at least 75 % of the union of their five-word shingles. ``component_id`` is the
-    smallest ``doc_id`` that links reach. ``n_links`` counts the document's verified links to different sets that were
-    needed to find the components (not all that exist).
-
-    A null, empty or blank text has no shingles and links with nothing. Fewer than five words are one shingle. Repeated
-    rows are equal sets and share a component. A null ``doc_id`` stays null and is ignored when the smallest is sought (a
-    component without any id has a null ``component_id``). An empty table gives an empty table.
-    """
+def _resolved(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, rep, n, n_links, comp) for each row; ``rep`` is the text's hash, ``comp`` names the component."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("rep", F.xxhash64("text"))
     chunks = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -264,14 +256,47 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = materialize(components(links, "x", "y"), "labels")
 
     degree = links.select(F.col("x").alias("u")).union(links.select("y")).groupBy("u").agg(F.count("*").alias("n_links"))
-    smallest = full.groupBy("unit").agg(F.min("doc_id").alias("least"))
-    comp = smallest.join(found, smallest.unit == found.node, "left").select("unit", "least", F.coalesce("component", "unit").alias("comp"))
-    least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = materialize(comp.join(least, "comp").join(degree, comp.unit == degree.u, "left").select(F.col("unit").alias("_u"), "component_id", "n_links"), "named")
-    rows = table.select("doc_id", "n", "unit").join(named, (F.col("unit") == named._u) & (F.col("n") > 0), "left")
-    return rows.select(
+    # Sets without a link are their own component; only linked ones have rows here.
+    named = materialize(found.join(degree, found.node == degree.u, "left").select("node", "component", "n_links"), "named")
+    rows = table.select("doc_id", "rep", "n", "unit").join(named, (F.col("unit") == named.node) & (F.col("n") > 0), "left")
+    return rows.select("doc_id", "rep", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "unit").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id), a row for each row of ``docs``.
+
+    Two documents link when they share at least 75 % of the union of their five-word shingles. ``component_id`` is the
+    smallest ``doc_id`` that links reach. ``n_links`` counts the document's verified links to different sets that were
+    needed to find the components (not all that exist).
+
+    A null, empty or blank text has no shingles and links with nothing. Fewer than five words are one shingle. Repeated
+    rows are equal sets and share a component. A null ``doc_id`` stays null and is ignored when the smallest is sought (a
+    component without any id has a null ``component_id``). An empty table gives an empty table.
+    """
+    rows = materialize(_resolved(docs, doc_id, text), "resolved")
+    least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1")
+    least = materialize(least.select(F.col("comp").alias("c"), "least"), "least")
+    out = rows.join(least, (F.col("comp") == F.col("c")) & (F.col("n") > 0), "left")
+    return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("n_links").cast("long").alias("n_links"),
+        F.coalesce("least", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: the smallest id, nulls last, equal ids by a hash of the text.
+
+    Rows without a word are linked with nothing and all stay.
+    """
+    rows = materialize(_resolved(docs, doc_id, text).filter("n > 0"), "resolved")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep")).alias("k")
+    keep = rows.groupBy("comp").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.rep").alias("k_rep"))
+    keep = materialize(keep, "keep")
+    own_id, own_rep = fresh(docs, "_id"), fresh(docs, "_rep")
+    keyed = docs.withColumns({own_id: F.col(f"`{doc_id}`").cast("long"), own_rep: F.xxhash64(F.col(f"`{text}`"))})
+    has_word = F.coalesce(F.col(f"`{text}`").rlike(WORD), F.lit(False))
+    kept = keyed.filter(has_word).join(keep, F.col(own_id).eqNullSafe(F.col("k_id")) & (F.col(own_rep) == F.col("k_rep")), "left_semi")
+    kept = kept.dropDuplicates([own_id, own_rep])
+    return kept.union(keyed.filter(~has_word)).drop(own_id, own_rep)
