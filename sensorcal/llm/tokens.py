@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
 
-#: Words whose ids a Python worker remembers, at most; it starts anew when they are reached.
-MEMORY = 400_000
+#: Pieces whose ids a Python worker remembers, at most; it starts anew when they are reached.
+MEMORY = 600_000
+#: A word of Latin letters that normalization leaves as they are but for the case, and perhaps a full stop or comma.
+_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across a blank or a newline and has no state, so the ids of a text are those of its
-    blank-separated pieces in order. Pieces are encoded once and remembered; a worker keeps them between tasks.
+    blank-separated pieces in order. Pieces are encoded once and remembered; a worker keeps them between tasks. New plain
+    words are encoded many at a time: each is one word to the tokenizer, and the last id of a word is marked in the vocabulary.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self._each([".", ","])
+
+    def _each(self, pieces: list[str]) -> None:
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.known[piece] = np.array(e.ids, "<u4").tobytes()
+
+    def _plain(self, words: list[str]) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                self._each(part)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
+        known, other, plain = self.known, [], []
+        for piece in pieces:
+            m = _PLAIN.fullmatch(piece)
+            if m:
+                plain.append((piece, m[1].lower(), m[2]))
+            else:
+                other.append(piece)
+        self._plain(list({w for _, w, _ in plain if w not in known}))
+        for piece, word, tail in plain:
+            known[piece] = known[word] + known[tail]
+        self._each(other)
 
     def encode(self, text: str | None) -> bytes:
         pieces = (text or "").replace("\n", " ").split(" ")
         if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        new = set(pieces) - self.known.keys()
+            self._forget()
+        known = self.known
+        new = [p for p in set(pieces) if p not in known]
         if new:
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, pieces))
+            self.learn(new)
+        return b"".join(map(known.__getitem__, pieces))
 
 
 @cache
