@@ -176,5 +176,5 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     clash = {c: f"_own_{c}" for c in (*MEASURES, "n_lines", "base_failed", "kept") if c.lower() in taken}
     aside = docs.withColumnsRenamed({c: clash[c.lower()] for c in docs.columns if c.lower() in clash})
     back = {v: next(c for c in docs.columns if c.lower() == k) for k, v in clash.items()}
-    out = quality_verdicts(aside, keep_text=True).filter("kept")
+    out = quality_verdicts(aside, keep_text=True).filter("kept").drop(*MEASURES, "n_lines", "base_failed", "kept")
     return out.withColumnsRenamed(back).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ c AS (SELECT CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind,
 seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind)::DOUBLE AS score FROM c),
 u AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\\b(?:href|src|action)\\s*=\\s*["'']?\\s*((?:https?:)?//[^\\s"''<>]+)', 1)) AS u FROM j),
 k AS (SELECT src, {_LOWER.format("regexp_extract(" + _AFTER.format("v") + ", '^[^/?#]*')")} AS dst FROM (SELECT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS v FROM u)),
-linked AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM k WHERE dst <> '' AND src <> dst GROUP BY ALL),
+linked AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM k WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 known AS (SELECT host FROM j WHERE host <> '' UNION SELECT dst FROM linked),
 up AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS dst, 1.0::DOUBLE AS weight FROM known WHERE len(string_split(host, '.')) > 2),
 e AS (SELECT * FROM linked UNION ALL SELECT * FROM up UNION ALL SELECT dst, src, weight FROM up),

@@ -57,7 +57,7 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, weight) between different hosts: number of links, and 1 between a host and the domain above it."""
     links = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""), F.lit(1))
     absolute = F.transform(links, lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)))
-    linked = pages.select(F.col("host").alias("src"), F.explode(absolute).alias("dst")).filter("dst <> '' AND src <> dst")
+    linked = pages.select(F.col("host").alias("src"), F.explode(absolute).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")
     linked = linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     known = pages.select("host").union(linked.select("dst")).distinct().filter("host <> ''")
     up = known.filter(F.size(F.split("host", r"\.")) > 2).select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("dst"), F.lit(1.0).alias("weight"))
@@ -84,8 +84,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", id_: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of ``pages``.
 
-    A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. A null or empty html has no
-    links. A host that neither trust nor distrust reaches is allowed. Repeated rows are judged alike, each link of
+    A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. A null or empty html, and a
+    page without a host, has no links. A host that neither trust nor distrust reaches is allowed. Repeated rows are judged alike, each link of
     theirs counts. Without any seed all scores are 0. An empty table gives an empty table.
     """
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
