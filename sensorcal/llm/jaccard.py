@@ -159,7 +159,8 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     pivots = lists.groupBy("list").agg(
         F.array(F.min_by(me, F.struct("pos", "n", "unit")), *(F.min_by(me, F.xxhash64("unit", F.lit(k))) for k in (1, 2))).alias("pivots")
     )
-    rows = lists.join(pivots, "list").select("unit", "n", "pos", F.explode("pivots").alias("p"))
+    # Written first, so that a list with any share of the rows meets one row in a join that Spark can split.
+    rows = lists.join(materialize(pivots, "pivots"), "list").select("unit", "n", "pos", F.explode("pivots").alias("p"))
     return _filtered(rows.select(F.col("unit").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("p.unit").alias("y"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py")))
 
 
@@ -168,7 +169,7 @@ def _rest_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     named = lists.join(labels, lists.unit == labels.node, "left").select("list", "unit", "n", "pos", F.coalesce("component", "unit").alias("comp"))
     sizes = named.groupBy("list", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    apart = named.join(main, "list")
+    apart = named.join(materialize(main, "main"), "list")
     outside = apart.filter("comp <> main").select("list", F.col("unit").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
     rest = apart.select("list", F.col("unit").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), "main")
     return _filtered(outside.join(rest, "list").filter("cx <> cy AND (cy = main OR x < y)"))

@@ -108,7 +108,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 
     each = rows.select("doc", F.explode(F.arrays_zip("lines", "words")).alias("x")).filter("x.words > 0").select("doc", F.col("x.lines").alias("line"))
     first = each.groupBy("line").agg(F.min("doc").alias("early"), F.max("doc").alias("last")).filter("early <> last")
-    pairs = each.join(first.select("line", "early"), "line").filter("doc <> early").select("doc", "early").distinct()
+    # Written first, so that a line with any share of the rows meets one row in a join that Spark can split.
+    first = materialize(first.select("line", "early"), "first")
+    pairs = each.join(first, "line").filter("doc <> early").select("doc", "early").distinct()
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
