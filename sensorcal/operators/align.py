@@ -62,15 +62,19 @@ def _cell_of(us: Column, width_us: int) -> Column:
     return F.floor(us / F.lit(width_us)).cast("long")
 
 
+def _cell_width(tol_us: int) -> int:
+    return max(1, 2 * tol_us)
+
+
 def _window_readings(
     station: DataFrame, micro: DataFrame, station_time: str, micro_time: str, cols: Sequence[str], tol_us: int, keys: list[str]
 ) -> DataFrame:
     """Every (station time, reading) pair with the reading inside the closed window, keyed by ``keys`` and ``_t``.
 
     The time axis is cut into cells as wide as a window, so a window touches at most two cells: an equality
-    join on the cell plus the exact test, instead of comparing all rows with all rows.
+    join on the cell plus the exact test, instead of comparing all rows with all rows. Tolerance 0 matches equal times.
     """
-    cell = 2 * tol_us
+    cell = _cell_width(tol_us)
 
     times = station.select(*keys, q(station_time).alias("_t")).where(F.col("_t").isNotNull()).distinct()
     t_us = epoch_us(F.col("_t"))
@@ -116,7 +120,7 @@ def align_window(
         *[F.stddev_pop(q(c)).alias(f"mc_{c}_std") for c in cols],
     )
     # A window lies in two cells at most, which bounds its readings without running the join.
-    cells = micro.select(*keys, _cell_of(epoch_us(q(micro_time)), 2 * tol_us).alias("_cell"))
+    cells = micro.select(*keys, _cell_of(epoch_us(q(micro_time)), _cell_width(tol_us)).alias("_cell"))
     bound = 2 * largest_group(cells, [*keys, "_cell"])
     spread = exact_quantiles(inside, cols, [0.25, 0.75], group, bound).select(
         *group, *[(q(c)[1] - q(c)[0]).alias(f"mc_{c}_iqr") for c in cols]

@@ -10,7 +10,7 @@ from ..functions.stats import no_nan
 from ..functions.time import hour_ceil, hour_floor, minutes_between
 from ..runtime import materialize
 from ..schema import SensorSchema, strip_headers
-from .quantiles import exact_medians, exact_quantiles, one_row
+from .quantiles import beside_keys, exact_medians, exact_quantiles, one_row
 
 
 def q(name: str) -> Column:
@@ -50,7 +50,7 @@ def normalize_unit(
         return df.withColumn(col, q(col) * unit_factor(med, rules))
     med = exact_medians(df, [col], keys).select(*keys, unit_factor(q(col), rules).alias("_factor"))
     return (
-        df.join(med, list(keys), "left")
+        beside_keys(df, med, list(keys))
         .withColumn(col, q(col) * F.coalesce("_factor", F.lit(1.0)))
         .drop("_factor")
     )
@@ -71,10 +71,21 @@ def range_null_out(df: DataFrame, ranges: Mapping[str, tuple[float | None, float
     return df.withColumns(out) if out else df
 
 
-def winsorize(df: DataFrame, cols: Sequence[str], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """Clip each column to its own exact quantiles; missing values stay missing."""
+def winsorize(
+    df: DataFrame, cols: Sequence[str], lo: float = 0.005, hi: float = 0.995, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Clip each column to its own exact quantiles, of all rows or per ``keys``; missing values stay missing."""
     cols = [c for c in cols if c in df.columns]
-    names = [f"w{i}" for i in range(len(cols))]
+    names = [f"_w{i}" for i in range(len(cols))]
+    if keys:
+        limits = exact_quantiles(df, cols, [lo, hi], keys)
+        limits = limits.select(*map(q, keys), *[q(c).alias(n) for c, n in zip(cols, names, strict=True)])
+        near = beside_keys(df, limits, list(keys))
+        clipped = {
+            c: F.when(q(c).isNotNull(), F.greatest(F.col(n)[0], F.least(F.col(n)[1], q(c))))
+            for c, n in zip(cols, names, strict=True)
+        }
+        return near.withColumns(clipped).drop(*names)
     limits = one_row(exact_quantiles(df, cols, [lo, hi]).toDF(*names))
     return df.withColumns(
         {
@@ -154,15 +165,16 @@ def clean_readings(
 ) -> DataFrame:
     """Parse, de-duplicate, fix units, null out impossible values, winsorize, add hour anchors — in this order.
 
-    The de-duplicated table is written once, because medians and quantiles read it again.
+    With ``schema.keys`` each sensor has its own unit and limits. The de-duplicated table is written once, because medians
+    and quantiles read it again.
     """
     df = strip_headers(df)
     measures = [c for c in schema.measures if c in df.columns]
     df = coerce_numeric(coerce_time(df, schema.time), measures)
     df = materialize(dedupe_time(df, [*schema.keys, schema.time], measures, others), "readings")
     for col, rules in (unit_rules or {}).items():
-        df = normalize_unit(df, col, rules)
+        df = normalize_unit(df, col, rules, schema.keys)
     df = range_null_out(df, ranges)
     if winsor:
-        df = winsorize(df, measures, *winsor)
+        df = winsorize(df, measures, *winsor, keys=schema.keys)
     return hour_anchors(df, schema.time)

@@ -178,6 +178,10 @@ def cv_evaluate(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
 
 def model_select(candidates: Sequence[Estimator], df: DataFrame, label: str, k: int) -> tuple[Estimator, Mapping[str, dict]]:
     """The candidate with the smallest cross-validated RMSE (the earlier one on ties), and all their scores."""
+    found = {r[0] for r in df.where(q(label).isNotNull()).select("fold").distinct().collect()}  # k + 1 at most
+    missing = sorted(set(range(k + 1)) - found)
+    if missing:
+        raise ValueError(f"cross-validation with {k} folds needs labelled rows in folds 0 to {k}; none in {missing}")
     scores = {c.name: cv_evaluate(c, df, label, k).first().asDict() for c in candidates}
     best = min(candidates, key=lambda c: scores[c.name]["cv_rmse"])
     return best, scores
@@ -226,7 +230,7 @@ def permutation_importance(
     order = [F.xxhash64(F.lit(seed), *map(q, id_cols)), *map(q, id_cols)]
     rows = df.where(q(label).isNotNull()).withColumns({c: q(c).cast("double") for c in feats})
     numbered = global_row_number(rows, order, "_rn").withColumn("_i", F.col("_rn") - 1)
-    n = numbered.agg(F.count("*")).first()[0]
+    n = max(1, numbered.agg(F.count("*")).first()[0])  # without rows the result has none either
     steps = F.array(*[F.lit(a) for a in _multipliers(n, repeats, seed)])
     target = F.pmod(F.pmod(F.col("_a") * F.col("_i"), F.lit(n)) + F.pmod(F.xxhash64(F.lit(seed), "_c", "_r"), F.lit(n)), F.lit(n))
     moved = (

@@ -6,15 +6,16 @@ Series are regular grids (see ``resample_mean``): one row per (channel, site_id,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import haversine_km, unit_sphere
-from ..runtime import materialize
+from ..runtime import materialize, run_together
 from ..schema import ScoreParams
-from .quantiles import exact_quantiles, one_row
+from .quantiles import beside_keys, exact_quantiles, one_row
 from .timeseries import contiguous_segments, first_difference, minmax01, robust_z
 
 SITE = "site_id"
@@ -222,16 +223,32 @@ def site_score_avg(scores: DataFrame) -> DataFrame:
     return scores.groupBy(SITE).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def kmeans_anomaly(scores: DataFrame, seed: int = 0) -> DataFrame:
-    """Two clusters of the three scaled indicators; the cluster with the lower mean ``ri`` is anomalous."""
+def kmeans_anomaly(scores: DataFrame, seed: int = 0, keys: Sequence[str] = ("channel",)) -> DataFrame:
+    """Two clusters of the three scaled indicators for each of ``keys`` (channels are few, one fit each).
+
+    The cluster with the lower mean ``ri`` is anomalous; ``cluster_mean_ri`` is the mean of a row's own cluster.
+    """
     filled = scores.fillna(0.0, ["sci_n", "tci_n", "mci_n"])
     rows = VectorAssembler(inputCols=["sci_n", "tci_n", "mci_n"], outputCol="_f").transform(filled)
-    labelled = (
-        KMeans(k=2, seed=seed, featuresCol="_f", predictionCol="cluster").fit(rows).transform(rows).drop("_f")
+
+    def labelled(group: Sequence) -> DataFrame:
+        mine = rows
+        for k, value in zip(keys, group, strict=True):
+            mine = mine.where(F.col(k).eqNullSafe(F.lit(value)))
+        return KMeans(k=2, seed=seed, featuresCol="_f", predictionCol="cluster").fit(mine).transform(mine).drop("_f")
+
+    groups = [tuple(r) for r in rows.select(*keys).distinct().sort(*keys).collect()]
+    if not groups:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("cluster_mean_ri", "double"), ("anomalous", "boolean"))]
+        return filled.select("*", *none)
+    clustered = reduce(DataFrame.unionByName, run_together(scores.sparkSession, [partial(labelled, g) for g in groups]))
+    means = clustered.groupBy(*keys, "cluster").agg(F.avg("ri").alias("cluster_mean_ri"))
+    worst = means.groupBy(*keys).agg(F.min_by("cluster", F.struct("cluster_mean_ri", "cluster")).alias("_worst"))
+    return (
+        beside_keys(beside_keys(clustered, means, [*keys, "cluster"]), worst, list(keys))
+        .withColumn("anomalous", F.col("cluster") == F.col("_worst"))
+        .drop("_worst")
     )
-    means = labelled.groupBy("cluster").agg(F.avg("ri").alias("cluster_mean_ri"))
-    worst = one_row(means.agg(F.min_by("cluster", F.struct("cluster_mean_ri", "cluster")).alias("c")))["c"]
-    return labelled.join(F.broadcast(means), "cluster").withColumn("anomalous", F.col("cluster") == worst)
 
 
 def pivot_by_site(dev: DataFrame, value: str, site_values: Sequence) -> DataFrame:

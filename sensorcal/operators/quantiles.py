@@ -3,13 +3,14 @@
 The built-in ``percentile`` keeps every distinct value of a group in one task's memory, which is fine for
 groups known to be small, so the largest group is counted first. Beyond ``GROUP_LIMIT`` rows a bounded
 sketch brackets each wanted order statistic; a second pass counts what lies below the bracket and keeps
-apart only the distinct values inside it, about ``6 / ACCURACY`` of the group. The result is exact in both
-ways: the sketch only decides where to look.
+apart only the distinct values inside it, about ``6 / ACCURACY`` of the group. Both ways give the same bits: NULL keys are
+a group, and values between two order statistics are weighted as ``percentile`` does it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,7 +21,6 @@ ACCURACY = 10_000
 SLACK = 3.0 / ACCURACY
 # A group larger than this is spread over several tasks when its rows meet its sketch.
 HOT_ROWS = 1_000_000
-MAX_SPREAD = 4096
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -37,7 +37,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key (one row in all without keys); column ``<col>`` is the array of its quantiles.
 
-    Missing values are left out; keys must not be NULL; ``probs`` must ascend. A group without any value is
+    Missing values are left out; a NULL key is a group of its own; ``probs`` must ascend. A group without any value is
     absent or all NULL. ``largest`` is an upper bound of the group sizes where the caller knows one.
     """
     if list(probs) != sorted(probs):
@@ -102,15 +102,15 @@ def _bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
     )
     q = (
         counted.withColumn("_cum", F.sum("_k").over(seen))
-        .withColumn("_frac", pos - rank0)
-        .groupBy(*group, "_i", "_frac")
+        .withColumn("_pos", pos)
+        .groupBy(*group, "_i", "_pos")
         .agg(order_statistic(rank0).alias("_x0"), order_statistic(rank0 + 1).alias("_x1"), missed.alias("_missed"))
         .select(
             *group,
             "_i",
             F.when(F.col("_missed"), F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double"))
-            .when(F.col("_frac") == 0, F.col("_x0"))
-            .otherwise(F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_frac"))
+            .when((F.floor("_pos") == F.col("_pos")) | (F.col("_x0") == F.col("_x1")), F.col("_x0"))
+            .otherwise((F.ceil("_pos") - F.col("_pos")) * F.col("_x0") + (F.col("_pos") - F.floor("_pos")) * F.col("_x1"))
             .alias("_q"),
         )
     )
@@ -126,13 +126,20 @@ def _beside(rows: DataFrame, sketch: DataFrame, group: list[str]) -> DataFrame:
 
     The salt table has at most (all rows / HOT_ROWS) entries, which is what bounds its broadcast.
     """
-    spread = F.least(F.lit(MAX_SPREAD), F.expr(f"cast(_n div {HOT_ROWS} as int) + 1"))
+    spread = F.expr(f"cast(_n div {HOT_ROWS} as int) + 1")
     hot = sketch.where(F.col("_n") > HOT_ROWS).select(*group, spread.alias("_spread"))
-    salted = rows.join(F.broadcast(hot), group, "left").withColumn(
+    salted = beside_keys(rows, F.broadcast(hot), group).withColumn(
         "_salt", F.pmod(F.spark_partition_id(), F.coalesce("_spread", F.lit(1)))
     )
     copies = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-    return salted.drop("_spread").join(copies, [*group, "_salt"])
+    return beside_keys(salted.drop("_spread"), copies, [*group, "_salt"], "inner")
+
+
+def beside_keys(rows: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``params`` (one row per key); NULL keys meet NULL keys."""
+    own = params.select(*[F.col(f"`{c}`").alias(f"_k_{c}" if c in keys else c) for c in params.columns])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys]
+    return rows.join(own, reduce(Column.__and__, same), how).drop(*[f"_k_{k}" for k in keys])
 
 
 def exact_medians(

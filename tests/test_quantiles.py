@@ -56,3 +56,15 @@ def test_both_ways_agree_on_several_columns(spark, monkeypatch):
 def test_probs_must_ascend(spark):
     with pytest.raises(ValueError):
         Q.exact_quantiles(frame(spark, [1]), ["v"], [0.5, 0.1])
+
+
+def test_null_keys_and_bits_agree_at_the_border(spark, monkeypatch):
+    df = spark.range(901).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), (F.sin("id") * 1e3).alias("x")
+    )
+    got = []
+    for limit in (10**6, 300, 0):
+        monkeypatch.setattr(Q, "GROUP_LIMIT", limit)
+        monkeypatch.setattr(Q, "HOT_ROWS", 100)
+        got.append(sorted(((r.k or "", r.x) for r in Q.exact_quantiles(df, ["x"], [0.1, 0.25, 0.77], ["k"]).collect())))
+    assert got[0] == got[1] == got[2] and [k for k, _ in got[0]] == ["", "k1", "k2"]
