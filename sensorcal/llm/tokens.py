@@ -8,9 +8,10 @@ from functools import cache
 import numpy as np
 
 #: Pieces whose ids a Python worker remembers, at most; it starts anew when they are reached.
-MEMORY = 600_000
-#: A word of Latin letters that normalization leaves as they are but for the case, and perhaps a full stop or comma.
-_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
+MEMORY = 1_200_000
+#: A line of its own: a word of Latin letters that normalization leaves as they are but for the case, and perhaps a full stop
+#: or comma; or anything else.
+_PIECES = re.compile(r"^(?:([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,]?)|.+)$", re.M)
 
 
 class WordIds:
@@ -23,8 +24,13 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For plain words in lower case only: there is nothing left to normalize, and blanks alone part them.
+        self.lower_words = Tokenizer.from_file(path)
+        self.lower_words.normalizer = None
+        self.lower_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -41,7 +47,7 @@ class WordIds:
     def _plain(self, words: list[str]) -> None:
         for k in range(0, len(words), 500):
             part = words[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.lower_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) != len(part):
                 self._each(part)
@@ -50,11 +56,11 @@ class WordIds:
             self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def learn(self, pieces: list[str]) -> None:
+        """Pieces have no newline and are not empty."""
         known, other, plain = self.known, [], []
-        for piece in pieces:
-            m = _PLAIN.fullmatch(piece)
-            if m:
-                plain.append((piece, m[1].lower(), m[2]))
+        for piece, (word, tail) in zip(pieces, _PIECES.findall("\n".join(pieces))):
+            if word:
+                plain.append((piece, word.lower(), tail))
             else:
                 other.append(piece)
         self._plain(list({w for _, w, _ in plain if w not in known}))
@@ -67,9 +73,9 @@ class WordIds:
         if len(self.known) > MEMORY:
             self._forget()
         known = self.known
-        new = [p for p in set(pieces) if p not in known]
+        new = set(pieces).difference(known)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         return b"".join(map(known.__getitem__, pieces))
 
 
