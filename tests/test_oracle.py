@@ -3,8 +3,7 @@
 import re
 
 import pytest
-from compare import compare
-from conftest import SF
+from compare import SF, compare
 
 from sensorcal.queries import ORACLES, QUERIES
 

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF
+from compare import SF
 
 from sensorcal.queries import QUERIES
 
