@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return back
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a table that ``materialize`` returned."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables (as ``materialize`` returned them) that nothing reads any more."""
     for df in tables:
