@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("lines", "quality", "mixing", "urls", "ids", "packing", "fingerprints", "html", "jaccard", "chat", "codes", "pieces"):
+for _name in ("lines", "quality", "mixing", "urls", "ids", "packing", "fingerprints", "html", "jaccard", "chat", "codes", "pieces", "importance"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
