@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.time import MINUTE_US, epoch_us, hour_floor
+from ..runtime import materialize
 from .clean import hour_anchors, q
-from .quantiles import exact_quantiles, largest_group
+from .quantiles import exact_quantiles
 
 
 def near_full_hour(micro: DataFrame, time: str, tol_minutes: float) -> DataFrame:
@@ -111,7 +112,8 @@ def align_window(
     """
     keys = list(keys)
     tol_us = int(tol_minutes * MINUTE_US)
-    inside = _window_readings(station, micro, station_time, micro_time, cols, tol_us, keys)
+    # Written, so that the join runs once for all statistics.
+    inside = materialize(_window_readings(station, micro, station_time, micro_time, cols, tol_us, keys), "inside")
     group = [*keys, "_t"]
     stats = inside.groupBy(*group).agg(
         F.count("*").alias("n_points"),
@@ -119,10 +121,7 @@ def align_window(
         *[F.avg(q(c)).alias(f"mc_{c}_mean") for c in cols],
         *[F.stddev_pop(q(c)).alias(f"mc_{c}_std") for c in cols],
     )
-    # A window lies in two cells at most, which bounds its readings without running the join.
-    cells = micro.select(*keys, _cell_of(epoch_us(q(micro_time)), _cell_width(tol_us)).alias("_cell"))
-    bound = 2 * largest_group(cells, [*keys, "_cell"])
-    spread = exact_quantiles(inside, cols, [0.25, 0.75], group, bound).select(
+    spread = exact_quantiles(inside, cols, [0.25, 0.75], group).select(
         *group, *[(q(c)[1] - q(c)[0]).alias(f"mc_{c}_iqr") for c in cols]
     )
     per_window = stats.join(spread, group, "left").withColumnRenamed("_t", station_time)

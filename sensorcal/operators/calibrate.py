@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats
 from .clean import clip_nonneg, q
+from .lookup import beside
 from .metrics import pack_exprs
 
 
 def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Parameter columns beside the rows: joined by key, or the single parameter row."""
     if keys:
-        return df.join(params.select(*keys, *cols), list(keys), "left")
+        return beside(df, params.select(*keys, *cols), keys)
     row = params.select(F.struct(*cols).alias("s")).scalar()
     return df.withColumn("_p", row).withColumns({c: F.col(f"_p.{c}") for c in cols}).drop("_p")
 

@@ -10,7 +10,8 @@ from ..functions.stats import no_nan
 from ..functions.time import hour_ceil, hour_floor, minutes_between
 from ..runtime import materialize
 from ..schema import SensorSchema, strip_headers
-from .quantiles import beside_keys, exact_medians, exact_quantiles, one_row
+from .lookup import beside
+from .quantiles import exact_medians, exact_quantiles, one_row
 
 
 def q(name: str) -> Column:
@@ -50,7 +51,7 @@ def normalize_unit(
         return df.withColumn(col, q(col) * unit_factor(med, rules))
     med = exact_medians(df, [col], keys).select(*keys, unit_factor(q(col), rules).alias("_factor"))
     return (
-        beside_keys(df, med, list(keys))
+        beside(df, med, list(keys))
         .withColumn(col, q(col) * F.coalesce("_factor", F.lit(1.0)))
         .drop("_factor")
     )
@@ -80,7 +81,7 @@ def winsorize(
     if keys:
         limits = exact_quantiles(df, cols, [lo, hi], keys)
         limits = limits.select(*map(q, keys), *[q(c).alias(n) for c, n in zip(cols, names, strict=True)])
-        near = beside_keys(df, limits, list(keys))
+        near = beside(df, limits, list(keys))
         clipped = {
             c: F.when(q(c).isNotNull(), F.greatest(F.col(n)[0], F.least(F.col(n)[1], q(c))))
             for c, n in zip(cols, names, strict=True)

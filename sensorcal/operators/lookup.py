@@ -18,27 +18,38 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[tuple[str, str]]) -> Colum
     return reduce(Column.__and__, [a[f"`{x}`"].eqNullSafe(b[f"`{y}`"]) for x, y in names])
 
 
-def beside(rows: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def _paired(keys: Sequence[str], values: Sequence[str]) -> list[Column]:
+    named = [F.col(f"`{k}`").alias(f"_beside_k{i}") for i, k in enumerate(keys)]
+    return [*named, F.struct(*[F.col(f"`{c}`") for c in values]).alias("_beside_values")]
+
+
+def beside(
+    rows: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left", rows_bound: int | None = None
+) -> DataFrame:
     """``rows`` with the other columns of ``params`` (one row per key); NULL keys meet NULL keys.
 
     ``params`` is written first, so its size is known. A small table is sent to the tasks and no row moves. For a
     larger one rows are counted per key: a key with more than one shuffle partition's share of all rows is heavy, and
     there are fewer heavy keys than shuffle partitions, so theirs can be sent whatever the data. Only rows of the
     other keys are dealt by key; heavy rows are dealt evenly and bring their parameters along. ``how`` is ``left`` or
-    ``inner``. A column of ``params`` that ``rows`` has too (other than the keys) replaces it.
+    ``inner``. A column of ``params`` that ``rows`` has too (other than the keys) replaces it. A caller who has counted
+    a written ``params`` gives ``rows_bound``; up to ``SMALL_ROWS`` narrow rows it is then not written again.
     """
     spark, keys = rows.sparkSession, list(keys)
     values = [c for c in params.columns if c not in keys]
     rows = rows.drop(*[c for c in values if c in rows.columns])
     if not keys:
         raise ValueError("keys must not be empty")
-    own = params.select(
-        *[F.col(f"`{k}`").alias(f"_beside_k{i}") for i, k in enumerate(keys)], F.struct(*[F.col(f"`{c}`") for c in values]).alias("_beside_values")
-    )
-    own = materialize(own, "params")
+    own = params.select(*_paired(keys, values))
+    small = rows_bound is not None and rows_bound <= SMALL_ROWS
+    if not small:
+        # A table as ``materialize`` returned it is not written again.
+        table = params if hasattr(params, "_scratch") else materialize(params, "params")
+        own = own if table is params else table.select(*_paired(keys, values))
+        small = written_bytes(table) <= SMALL_BYTES and table.count() <= SMALL_ROWS
     named = [(k, f"_beside_k{i}") for i, k in enumerate(keys)]
     out = [F.col(f"`{c}`") for c in rows.columns] + [F.col(f"_beside_values.`{c}`").alias(c) for c in values]
-    if written_bytes(own) <= SMALL_BYTES and own.count() <= SMALL_ROWS:
+    if small:
         return rows.join(F.broadcast(own), _same(rows, own, named), how).select(*out)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geo import haversine_km, unit_sphere
 from ..runtime import materialize, run_together
 from ..schema import ScoreParams
-from .quantiles import beside_keys, exact_quantiles, one_row
+from .lookup import beside
+from .quantiles import exact_quantiles, one_row
 from .timeseries import contiguous_segments, first_difference, minmax01, robust_z
 
 SITE = "site_id"
@@ -245,7 +246,7 @@ def kmeans_anomaly(scores: DataFrame, seed: int = 0, keys: Sequence[str] = ("cha
     means = clustered.groupBy(*keys, "cluster").agg(F.avg("ri").alias("cluster_mean_ri"))
     worst = means.groupBy(*keys).agg(F.min_by("cluster", F.struct("cluster_mean_ri", "cluster")).alias("_worst"))
     return (
-        beside_keys(beside_keys(clustered, means, [*keys, "cluster"]), worst, list(keys))
+        beside(beside(clustered, means, [*keys, "cluster"]), worst, list(keys))
         .withColumn("anomalous", F.col("cluster") == F.col("_worst"))
         .drop("_worst")
     )

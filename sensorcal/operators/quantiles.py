@@ -1,10 +1,10 @@
-"""Exact quantiles (linear interpolation) that never gather an unbounded group in one task.
+"""Exact quantiles (linear interpolation) by radix selection, the same way for every size of table and group.
 
-The built-in ``percentile`` keeps every distinct value of a group in one task's memory, which is fine for
-groups known to be small, so the largest group is counted first. Beyond ``GROUP_LIMIT`` rows a bounded
-sketch brackets each wanted order statistic; a second pass counts what lies below the bracket and keeps
-apart only the distinct values inside it, about ``6 / ACCURACY`` of the group. Both ways give the same bits: NULL keys are
-a group, and values between two order statistics are weighted as ``percentile`` does it.
+Values become 64-bit keys with the same order. A pass counts values per group and per next 16 bits of the key, among the
+values whose earlier bits are those of a wanted order statistic; running sums over a histogram say which bucket holds
+the statistic and at which place. A bucket of one value is done; one of at most 65,536 values is sorted as it is, which
+takes no more room than its next histogram would. So after four passes at most every statistic is known, all columns and
+probabilities are found together, nothing is estimated, and no task holds more of a group than a histogram.
 """
 
 from __future__ import annotations
@@ -14,140 +14,135 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Largest group whose values may meet in one task (about 100 bytes per value there).
-GROUP_LIMIT = 200_000
-# Rank error of the sketch is at most rows / ACCURACY; the bracket allows three times that.
-ACCURACY = 10_000
-SLACK = 3.0 / ACCURACY
-# A group larger than this is spread over several tasks when its rows meet its sketch.
-HOT_ROWS = 1_000_000
+from ..runtime import materialize, release
+from .lookup import beside
 
+# Bits of the key that one pass looks at.
+DIGIT = 16
+# A bucket with at most so many values is sorted.
+BUCKET = 1 << DIGIT
+_SMALLEST_NORMAL = 2.0**-1022
+_MANTISSA = 1 << 52
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: one pass over the key columns, one number to the driver."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
+def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds a long that orders as the present double ``value`` does (undefined values last), a key of its own for every value.
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    largest: int | None = None,
-) -> DataFrame:
-    """One row per key (one row in all without keys); column ``<col>`` is the array of its quantiles.
-
-    Missing values are left out; a NULL key is a group of its own; ``probs`` must ascend. A group without any value is
-    absent or all NULL. ``largest`` is an upper bound of the group sizes where the caller knows one.
+    It is the exponent and the fraction of the double, found by exact division by a power of two.
     """
-    if list(probs) != sorted(probs):
-        raise ValueError("probs must ascend")
-    keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest > GROUP_LIMIT:
-        return _bracketed_quantiles(df, cols, probs, keys)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), wanted).alias(c) for c in cols])
-
-
-def _bracketed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: list[str]) -> DataFrame:
-    entries = [
-        F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(cols)
-    ]
-    long = (
-        df.select(*keys, F.explode(F.array(*entries)).alias("_e"))
-        .select(*keys, "_e._c", "_e._v")
-        .where(F.col("_v").isNotNull())
+    v = F.col(value)
+    special = F.isnan(v) | (F.abs(v) == float("inf")) | (F.abs(v) < _SMALLEST_NORMAL)
+    scaled = (
+        df.withColumn("_abs", F.when(special, 1.0).otherwise(F.abs(v)))
+        # The logarithm may be off by one near powers of two; the fraction then lies in [1/2, 1) or [2, 4).
+        .withColumn("_exp", F.least(F.floor(F.log2("_abs")), F.lit(1023)))
+        .withColumn("_frac", F.col("_abs") / F.pow(F.lit(2.0), F.col("_exp")))
     )
-    group = [*keys, "_c"]
-    edges = [max(0.0, p - SLACK) for p in probs] + [min(1.0, p + SLACK) for p in probs]
-    sketch = long.groupBy(*group).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("_edges"),
+    e, m = F.col("_exp").cast("long"), F.col("_frac")
+    normal = (
+        F.when(m >= 2, (e + 1023) * _MANTISSA + (m * (_MANTISSA / 2)).cast("long"))
+        .when(m < 1, (e + 1021) * _MANTISSA + (m * (_MANTISSA * 2.0)).cast("long"))
+        .otherwise((e + 1022) * _MANTISSA + (m * float(_MANTISSA)).cast("long"))
     )
-    located = _beside(long, sketch, group) if keys else long.join(F.broadcast(sketch), "_c")  # len(cols) rows
-
-    # Position of a value among the bracket edges: how many lower and how many upper edges it has passed.
-    v, n_p = F.col("_v"), len(probs)
-    passed_lo = sum((F.when(v >= F.col("_edges")[i], 1).otherwise(0) for i in range(n_p)), F.lit(0))
-    passed_hi = sum((F.when(v > F.col("_edges")[i + n_p], 1).otherwise(0) for i in range(n_p)), F.lit(0))
-    segments = (
-        located.select(*group, "_n", "_v", passed_lo.alias("_a"), passed_hi.alias("_b"))
-        .groupBy(*group, "_n", "_a", "_b", F.when(F.col("_a") > F.col("_b"), v).alias("_x"))
-        .agg(F.count("_v").alias("_k"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    size = (
+        F.when(F.isnan(v), F.lit((1 << 63) - 1))
+        .when(F.abs(v) == float("inf"), F.lit(2047 * _MANTISSA))
+        # Below the smallest normal value the step is constant.
+        .when(F.abs(v) < _SMALLEST_NORMAL, (F.abs(v) / 2.0**-1074).cast("long"))
+        .otherwise(normal)
     )
-    # From here on the data is small: bracket values and one row per stretch between brackets.
-    zone = F.when(F.col("_i") >= F.col("_a"), 0).when(F.col("_i") < F.col("_b"), 2).otherwise(1)
-    counted = (
-        segments.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-        .withColumn("_zone", zone)
-        .groupBy(*group, "_n", "_i", "_p", "_zone", F.when(F.col("_zone") == 1, F.col("_x")).alias("_x"))
-        .agg(F.sum("_k").alias("_k"), F.min("_mn").alias("_mn"), F.max("_mx").alias("_mx"))
-        .withColumn(
-            "_x", F.when(F.col("_zone") == 0, F.col("_mx")).when(F.col("_zone") == 2, F.col("_mn")).otherwise(F.col("_x"))
-        )
-    )
-    seen = Window.partitionBy(*group, "_i").orderBy("_zone", "_x").rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.col("_p") * (F.col("_n") - 1)
-    rank0 = F.floor(pos)
+    return scaled.withColumn(name, F.when(v < 0, -size - 1).otherwise(size)).drop("_abs", "_exp", "_frac")
 
-    def order_statistic(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.col("_x")))
 
-    # A rank just outside the bracket is the nearest value below or above it; further out the sketch was wrong.
-    missed = F.max(
-        ((F.col("_zone") == 0) & (F.col("_cum") > rank0 + 1))
-        | ((F.col("_zone") == 2) & (F.col("_cum") - F.col("_k") < F.ceil(pos)))
-    )
-    q = (
-        counted.withColumn("_cum", F.sum("_k").over(seen))
-        .withColumn("_pos", pos)
-        .groupBy(*group, "_i", "_pos")
-        .agg(order_statistic(rank0).alias("_x0"), order_statistic(rank0 + 1).alias("_x1"), missed.alias("_missed"))
-        .select(
-            *group,
-            "_i",
-            F.when(F.col("_missed"), F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double"))
-            .when((F.floor("_pos") == F.col("_pos")) | (F.col("_x0") == F.col("_x1")), F.col("_x0"))
-            .otherwise((F.ceil("_pos") - F.col("_pos")) * F.col("_x0") + (F.col("_pos") - F.floor("_pos")) * F.col("_x1"))
-            .alias("_q"),
-        )
-    )
-    arrays = [
-        F.array(*[F.max(F.when((F.col("_c") == ci) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))]).alias(c)
-        for ci, c in enumerate(cols)
-    ]
-    return q.groupBy(*keys).agg(*arrays)
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [a[f"`{n}`"].eqNullSafe(b[f"`_b_{n}`"]) for n in names])
 
 
-def _beside(rows: DataFrame, sketch: DataFrame, group: list[str]) -> DataFrame:
-    """Rows joined with their group's sketch, hot groups split over salts.
+def _within(histogram: DataFrame, ranks: Column, within: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The buckets that hold a wanted rank; ``ranks`` then count from the bucket's start."""
+    before = Window.partitionBy(*within).orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
+    placed = histogram.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_ranks", ranks)
+    cum, k = F.col("_before"), F.col("_k")
+    here = F.filter("_ranks", lambda r: (r["at"] >= cum) & (r["at"] < cum + k))
+    moved = F.transform(here, lambda r: F.struct(r["i"].alias("i"), r["side"].alias("side"), (r["at"] - cum).alias("at"), r["pos"].alias("pos")))
+    return placed.select(*keep, "_pre", "_k", "_mn", "_mx", moved.alias("_ranks")).where(F.size("_ranks") > 0)
 
-    The salt table has at most (all rows / HOT_ROWS) entries, which is what bounds its broadcast.
-    """
-    spread = F.expr(f"cast(_n div {HOT_ROWS} as int) + 1")
-    hot = sketch.where(F.col("_n") > HOT_ROWS).select(*group, spread.alias("_spread"))
-    salted = beside_keys(rows, F.broadcast(hot), group).withColumn(
-        "_salt", F.pmod(F.spark_partition_id(), F.coalesce("_spread", F.lit(1)))
+
+def _histogram(values: DataFrame, group: Sequence[str], shift: int) -> DataFrame:
+    return values.groupBy(*group, F.shiftright("_key", shift).alias("_pre")).agg(
+        F.count("*").alias("_k"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")
     )
-    copies = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-    return beside_keys(salted.drop("_spread"), copies, [*group, "_salt"], "inner")
 
 
-def beside_keys(rows: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """``rows`` with the columns of ``params`` (one row per key); NULL keys meet NULL keys."""
-    own = params.select(*[F.col(f"`{c}`").alias(f"_k_{c}" if c in keys else c) for c in params.columns])
-    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys]
-    return rows.join(own, reduce(Column.__and__, same), how).drop(*[f"_k_{k}" for k in keys])
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per key (one row in all without keys); column ``<col>`` is the array of its quantiles.
+
+    Missing values are left out; a NULL key is a group of its own; ``probs`` must ascend. A group without any value is
+    absent or all NULL. The passes run when this is called; the result is a small written table.
+    """
+    if list(probs) != sorted(probs):
+        raise ValueError("probs must ascend")
+    keys, cols = list(keys), list(cols)
+    group = [*[f"_g{i}" for i in range(len(keys))], "_c"]
+    entries = [F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(cols)]
+    long = df.select(*[F.col(f"`{k}`").alias(g) for k, g in zip(keys, group)], F.inline(F.array(*entries))).where(F.col("_v").isNotNull())
+    values = with_order_key(long, "_v", "_key")
+
+    shift = 64 - DIGIT
+    all_of = Window.partitionBy(*group)
+    first = _histogram(values, group, shift).withColumn("_n", F.sum("_k").over(all_of))
+    # Wanted are the places below and above (n - 1) · p, counted from 0.
+    last = F.col("_n") - 1
+
+    def places(p: Column, i: Column) -> Column:
+        pos = p * last
+        return F.array(*[F.struct(i.alias("i"), F.lit(s).alias("side"), f(pos).alias("at"), pos.alias("pos")) for s, f in ((0, F.floor), (1, F.ceil))])
+
+    ranks = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), places))
+    wanted = materialize(_within(first, ranks, group, group), "ranks")
+    single = F.col("_mn").eqNullSafe(F.col("_mx"))
+    done, scratch = [], [wanted]
+    while True:
+        done.append(wanted.where(single).select(*group, F.inline("_ranks"), F.col("_mn").alias("_x")))
+        open_buckets, most = wanted.where(~single).agg(F.count("*"), F.max("_k")).first()
+        if not open_buckets:
+            break
+        marks = wanted.where(~single).select(*group, "_pre", F.lit(1).alias("_wanted"))
+        inside = beside(values.withColumn("_pre", F.shiftright("_key", shift)), marks, [*group, "_pre"], "inner", rows_bound=open_buckets)
+        if most <= BUCKET:
+            listed = inside.groupBy(*group, "_pre").agg(F.sort_array(F.collect_list("_v")).alias("_list"))
+            asked = wanted.where(~single).select(*[F.col(c).alias(f"_b_{c}") for c in (*group, "_pre")], F.explode("_ranks").alias("_r"))
+            found = listed.join(asked, _same(listed, asked, [*group, "_pre"])).select(*group, "_r.*", F.get("_list", F.col("_r.at").cast("int")).alias("_x"))
+            done.append(found)
+            break
+        values = materialize(inside.select(*group, "_v", "_key"), "values")
+        shift -= DIGIT
+        finer = _histogram(values, group, shift).withColumn("_up", F.shiftright("_pre", DIGIT))
+        above = wanted.where(~single).select(*[F.col(c).alias(f"_b_{c}") for c in group], F.col("_pre").alias("_b__up"), F.col("_ranks").alias("_asked"))
+        finer = finer.join(above, _same(finer, above, [*group, "_up"])).drop(*above.columns[:-1])
+        wanted = materialize(_within(finer, F.col("_asked"), [*group, "_up"], group), "ranks")
+        scratch += [values, wanted]
+
+    x0, x1 = (F.max(F.when(F.col("side") == s, F.col("_x"))) for s in (0, 1))
+    both = reduce(DataFrame.unionByName, done).groupBy(*group, "i").agg(x0.alias("_x0"), x1.alias("_x1"), F.max("pos").alias("_pos"))
+    between = (F.ceil("_pos") - F.col("_pos")) * F.col("_x0") + (F.col("_pos") - F.floor("_pos")) * F.col("_x1")
+    q = both.withColumn("_q", F.when((F.floor("_pos") == F.col("_pos")) | (F.col("_x0") == F.col("_x1")), F.col("_x0")).otherwise(between))
+    arrays = [
+        F.array(*[F.max(F.when((F.col("_c") == ci) & (F.col("i") == i), F.col("_q"))) for i in range(len(probs))]).alias(c)
+        for ci, c in enumerate(cols)
+    ]
+    out = q.groupBy(*group[:-1]).agg(*arrays).withColumnsRenamed(dict(zip(group, keys)))
+    out = materialize(out, "quantiles")
+    release(*scratch)
+    return out
 
 
-def exact_medians(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), largest: int | None = None
-) -> DataFrame:
+def exact_medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """As :func:`exact_quantiles` with scalar columns holding the medians."""
-    q = exact_quantiles(df, cols, [0.5], keys, largest)
-    return q.select(*keys, *[F.col(f"`{c}`")[0].alias(c) for c in cols])
+    q = exact_quantiles(df, cols, [0.5], keys)
+    medians = q.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`")[0].alias(c) for c in cols])
+    medians._scratch = q._scratch
+    return medians
 
 
 def one_row(df: DataFrame) -> Column:

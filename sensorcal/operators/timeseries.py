@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.time import DAY_US, cyclic, epoch_us, floor_to, from_epoch_us
 from ..runtime import materialize
 from .clean import q
-from .quantiles import exact_medians, largest_group, one_row
+from .lookup import beside
+from .quantiles import exact_medians, one_row
 
 
 def time_features(df: DataFrame, ts: str) -> DataFrame:
@@ -69,11 +70,10 @@ def robust_z(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "z") -
     """
     keys = list(keys)
     if keys:
-        largest = largest_group(df, keys)
-        med = exact_medians(df, [x], keys, largest).withColumnRenamed(x, "_med")
-        with_med = materialize(df.join(med, keys, "left"), "centred")
-        mad = exact_medians(with_med.withColumn("_dev", F.abs(q(x) - F.col("_med"))), ["_dev"], keys, largest)
-        centred, med_c, mad_c = with_med.join(mad, keys, "left"), F.col("_med"), F.col("_dev")
+        med = exact_medians(df.withColumn("_med", q(x)), ["_med"], keys)
+        with_med = materialize(beside(df, med, keys), "centred")
+        mad = exact_medians(with_med.withColumn("_dev", F.abs(q(x) - F.col("_med"))), ["_dev"], keys)
+        centred, med_c, mad_c = beside(with_med, mad, keys), F.col("_med"), F.col("_dev")
     else:
         med_c = one_row(exact_medians(df, [x]).toDF("m"))["m"]
         mad = exact_medians(df.select(F.abs(q(x) - med_c).alias("_dev")), ["_dev"])
@@ -89,7 +89,7 @@ def minmax01(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), suffi
         *[F.min(q(c)).alias(f"_lo_{c}") for c in cols], *[F.max(q(c)).alias(f"_hi_{c}") for c in cols]
     )
     if keys:
-        joined = df.join(ranges, keys)
+        joined = beside(df, ranges, keys)
         bound = F.col
     else:
         joined, row = df, one_row(ranges)
