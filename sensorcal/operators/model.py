@@ -10,15 +10,15 @@ from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats
 from ..runtime import run_together
 from .clean import q
 from .ordering import global_row_number
-from .features import bspline_position_sql, bspline_sql
 from .quantiles import exact_medians, exact_quantiles
+from .ridge import Additive, Design, fit_additive, pipeline
 
 _VECTOR = "_features"
 
@@ -33,13 +33,12 @@ def _medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return dict(zip(cols, row, strict=True))
 
 
-def _prepare(exprs: Sequence[str], places: Sequence[str] = ()) -> tuple[SQLTransformer, VectorAssembler]:
-    """Feature expressions into a vector; ``places`` are shared inputs named ``_p0, _p1, …``."""
+def _prepare(exprs: Sequence[str]) -> tuple[SQLTransformer, VectorAssembler]:
+    """Feature expressions into a vector."""
     names = [f"_f{i}" for i in range(len(exprs))]
     listed = ", ".join(f"{e} AS {n}" for e, n in zip(exprs, names, strict=True))
-    shared = "".join(f", {e} AS _p{i}" for i, e in enumerate(places))
     return (
-        SQLTransformer(statement=f"SELECT *, {listed} FROM (SELECT *{shared} FROM __THIS__)"),
+        SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"),
         VectorAssembler(inputCols=names, outputCol=_VECTOR),
     )
 
@@ -57,6 +56,13 @@ class Fitted:
         return out.drop(*[c for c in out.columns if c == _VECTOR or (c[:2] in ("_f", "_p") and c[2:].isdigit())])
 
 
+@dataclass(frozen=True)
+class FittedSum(Fitted):
+    """A fitted model that is a sum over its features."""
+
+    parts: Additive
+
+
 @dataclass(frozen=True)
 class RidgeSpline:
     """Ridge regression on standardized features: cubic spline columns of some features, the others as they are."""
@@ -72,30 +78,15 @@ class RidgeSpline:
         return (*self.spline, *self.numeric)
 
     def fit(self, df: DataFrame, label: str) -> Fitted:
-        df = df.where(q(label).isNotNull())
-        # Filling with a median, below, leaves the range of a column as it is.
-        bounds = [F.min(q(c)).cast("double") for c in self.spline] + [F.max(q(c)).cast("double") for c in self.spline]
-        row = df.agg(F.count("*"), F.stddev_pop(q(label)), *bounds).first()
-        n, spread, limits = row[0], row[1] or 0.0, row[2:]
-        med = _medians(df, self.features)
-        places, exprs = [], []
-        for i, c in enumerate(self.spline):
-            lo, hi = limits[i] or 0.0, limits[i + len(self.spline)] or 0.0
-            places.append(bspline_position_sql(_filled(c, med[c]), f"{lo!r}D", f"{hi!r}D", self.knots))
-            exprs += [bspline_sql(f"_p{i}", j) for j in range(self.knots + 1)]
-        exprs += [_filled(c, med[c]) for c in self.numeric]
-        select, assemble = _prepare(exprs, places)
-        # MLlib divides the squared error by n and scales the penalty with the deviation of the label.
-        reg = LinearRegression(
-            featuresCol=_VECTOR,
-            labelCol=label,
-            elasticNetParam=0.0,
-            regParam=self.alpha * spread / max(n, 1),
-            standardization=True,
-            solver="normal",
-        )
-        model = reg.fit(assemble.transform(select.transform(df.select(*map(q, dict.fromkeys((*self.features, label)))))))
-        return Fitted(PipelineModel([select, assemble, model]), self.features, self.name)
+        found = self.fit_many(df.withColumn("_fit", F.lit(0)), label, [0])
+        if not found:
+            raise ValueError(f"no rows with {label}")
+        return found[0]
+
+    def fit_many(self, df: DataFrame, label: str, fits: Sequence[int]) -> dict[int, Fitted]:
+        """A model per value of the column ``_fit`` that has labelled rows, all from the same passes over the rows."""
+        models = fit_additive(df, dict.fromkeys(fits, Design(self.spline, self.numeric, self.knots)), label, "_fit", self.alpha)
+        return {i: FittedSum(pipeline(m), self.features, self.name, m) for i, m in models.items()}
 
 
 def _fit_tree(estimator, df: DataFrame, label: str, features: tuple[str, ...], name: str) -> Fitted:
@@ -156,14 +147,33 @@ class Forest:
 Estimator = RidgeSpline | Boosted | Forest
 
 
-def cv_evaluate(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
-    """Mean RMSE, MAE and R² over expanding folds; ``df`` carries ``fold`` (see ``time_series_folds``)."""
+def _folds_apart(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
+    """Predictions of every fold from a model of its own, fitted side by side."""
 
     def fold(i: int) -> DataFrame:
         model = est.fit(df.where(F.col("fold") < i), label)
         return model.transform(df.where(F.col("fold") == i)).select("fold", q(label).alias("_y"), "prediction")
 
-    scored = reduce(DataFrame.unionByName, run_together(df.sparkSession, [partial(fold, i) for i in range(1, k + 1)]))
+    return reduce(DataFrame.unionByName, run_together(df.sparkSession, [partial(fold, i) for i in range(1, k + 1)]))
+
+
+def _folds_together(est: RidgeSpline, df: DataFrame, label: str, k: int) -> DataFrame:
+    """As :func:`_folds_apart`: a row stands once for each fold that it trains, and all folds are fitted in the same passes."""
+    rows = df.where(q(label).isNotNull()).select("fold", *map(q, dict.fromkeys((*est.features, label))))
+    training = rows.where(F.col("fold") < k).withColumn("_fit", F.explode(F.sequence(F.col("fold") + 1, F.lit(k))))
+    models = est.fit_many(training, label, range(1, k + 1))
+    if len(models) < k:
+        raise ValueError(f"no training rows for folds {sorted(set(range(1, k + 1)) - set(models))}")
+    places = {n: F.expr(e) for i, m in models.items() for n, e in m.parts.places(f"_p{i}_").items()}
+    by_fold = " ".join(f"WHEN {i} THEN {m.parts.prediction(f'_p{i}_')}" for i, m in models.items())
+    tested = rows.where(F.col("fold") >= 1).withColumns(places)
+    return tested.select("fold", q(label).alias("_y"), F.expr(f"CASE fold {by_fold} END").alias("prediction"))
+
+
+def cv_evaluate(est: Estimator, df: DataFrame, label: str, k: int) -> DataFrame:
+    """Mean RMSE, MAE and R² over expanding folds; ``df`` carries ``fold`` (see ``time_series_folds``)."""
+
+    scored = _folds_together(est, df, label, k) if isinstance(est, RidgeSpline) else _folds_apart(est, df, label, k)
     y, p = F.col("_y"), F.col("prediction")
     per_fold = scored.groupBy("fold").agg(
         stats.rmse(y, p).alias("rmse"), stats.mae(y, p).alias("mae"), stats.r_squared(y, p).alias("r2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,4 +50,5 @@ def big(expr: str, name: str) -> str:
 def with_views(views: list[str], steps: Mapping[str, str], final: str) -> str:
     """``WITH`` query over the named fixture views and further named steps."""
     ctes = [f"{v} AS ({SQL[v]})" for v in views] + [f"{n} AS ({s})" for n, s in steps.items()]
-    return f"WITH {', '.join(ctes)} {final}"
+    recursive = any(re.search(rf"\b{n}\b", s) for n, s in steps.items())
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {final}"

@@ -9,8 +9,10 @@ from ..operators import align, features as feat, model as m, ordering, timeserie
 from ..operators.metrics import metrics_pack
 from ..plans.explain import explain_all_channels
 from ..runtime import materialize
-from .alignment import CHANNELS, WIDE_STEPS, aligned_wide
+from .alignment import CHANNELS, WIDE_STEPS, aligned_wide, pack_sql
 from .base import big, query, r6, with_views
+from .ridge_sql import ridge_steps
+from .series import SPLIT
 
 MC_HUM = [f"mc_hum_{s}" for s in feat.STATS]
 
@@ -155,7 +157,19 @@ def _scores(est, spark, sf_dir):
 RIDGE = m.RidgeSpline(SPLINES, NUMERIC)
 
 
-@query("ridge_spline_fit")
+#: The rows of :func:`model_rows` with the fold of the training rows.
+MODEL_ROWS = SPLIT | {
+    "cal": "SELECT *, date_diff('microsecond', min(dt::TIMESTAMP) OVER (), dt::TIMESTAMP) / 86400000000.0::DOUBLE AS t_days, "
+    "sin(2 * pi() * (month(dt) - 1) / 12) AS sin_month, cos(2 * pi() * (month(dt) - 1) / 12) AS cos_month, "
+    "CASE WHEN part <> 'test' THEN greatest(0, 5 - ((n_train - rn) // (n_train // 6))) END AS fold FROM split",
+}
+FIT_ONE = MODEL_ROWS | {"members": "SELECT *, 0 AS s, part <> 'test' AS train FROM cal"} | ridge_steps("members", SPLINES, NUMERIC, "y_true")
+
+
+@query(
+    "ridge_spline_fit",
+    with_views(["pairs"], FIT_ONE, f"SELECT 'ridge_spline' AS model, part, {big('count(*)', 'n')}, {pack_sql('y_true', 'prediction')} FROM scored GROUP BY part"),
+)
 def ridge_spline_fit(spark, sf_dir):
     return _scores(RIDGE, spark, sf_dir)
 
@@ -174,7 +188,21 @@ def folds(spark, sf_dir, k):
     return model_rows(spark, sf_dir, k).where("part <> 'test'")
 
 
-@query("cv_evaluate")
+FIT_FOLDS = (
+    MODEL_ROWS
+    | {"members": "SELECT *, fold < s AS train FROM cal, unnest(range(1, 6)) AS u(s) WHERE fold <= s"}
+    | ridge_steps("members", SPLINES, NUMERIC, "y_true")
+    | {
+        "per_fold": "SELECT fold, sqrt(avg((prediction - y_true) * (prediction - y_true))) AS rmse, avg(abs(prediction - y_true)) AS mae, "
+        "1 - sum((prediction - y_true) * (prediction - y_true)) / (var_pop(y_true) * count(*)) AS r2 FROM scored WHERE NOT train GROUP BY fold"
+    }
+)
+
+
+@query(
+    "cv_evaluate",
+    with_views(["pairs"], FIT_FOLDS, f"SELECT 'ridge_spline' AS model, {r6('avg(rmse)', 'cv_rmse')}, {r6('avg(mae)', 'cv_mae')}, {r6('avg(r2)', 'cv_r2')} FROM per_fold"),
+)
 def cv_evaluate(spark, sf_dir):
     return m.cv_evaluate(RIDGE, folds(spark, sf_dir, 5), "y_true", 5)
 
@@ -191,7 +219,16 @@ def _fitted(spark, sf_dir):
     return RIDGE.fit(rows.where("part <> 'test'"), "y_true"), rows.where("part = 'test'")
 
 
-@query("holdout_predictions")
+@query(
+    "holdout_predictions",
+    with_views(
+        ["pairs"],
+        FIT_ONE,
+        f"SELECT dt, {PAIR_ID}, {r6('y_true', 'y_true')}, {r6('y_raw', 'y_raw')}, {r6('hum', 'hum')}, {r6('t_days', 't_days')}, "
+        f"{r6('sin_month', 'sin_month')}, {r6('cos_month', 'cos_month')}, {r6('prediction', 'prediction')}, {r6('y_true - prediction', 'residual')} "
+        "FROM scored WHERE part = 'test'",
+    ),
+)
 def holdout_predictions(spark, sf_dir):
     fitted, test = _fitted(spark, sf_dir)
     return m.holdout_predictions(fitted, test, fx.PAIR_ORDER, "y_true")
