@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial, reduce
@@ -14,7 +12,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats
-from ..runtime import run_together
+from ..runtime import materialize, run_together
+from .bijection import permuted
 from .clean import q
 from .ordering import global_row_number
 from .quantiles import exact_medians, exact_quantiles
@@ -209,16 +208,6 @@ def _with_replaced(df: DataFrame, features: Sequence[str], which: Column, value:
     return df.withColumns({c: F.when(which == i, value).otherwise(q(c)) for i, c in enumerate(features)})
 
 
-def _multipliers(n: int, repeats: int, seed: int) -> list[int]:
-    """Numbers without a common divisor with n: each maps 0..n-1 onto itself by multiplication."""
-    rng, out = random.Random(seed), []
-    while len(out) < repeats:
-        a = rng.randrange(1 << 10, 1 << 20)
-        if math.gcd(a, n) == 1:
-            out.append(a)
-    return out
-
-
 def permutation_importance(
     model: Fitted,
     df: DataFrame,
@@ -230,33 +219,40 @@ def permutation_importance(
 ) -> DataFrame:
     """Increase of RMSE when one feature is permuted: mean and population deviation over the repeats.
 
-    All features and repeats are scored in one job. Rows are numbered in a random (hashed) order; a repeat moves
-    the value of row i to row ``(a·i + b) mod n``, a different permutation for every feature and repeat, so only
-    single values travel to their new row and nothing is sorted per repeat. ``delivered`` turns the raw prediction
-    into the delivered value (default: the prediction itself), so that a model of a difference is scored on the level.
+    Rows are numbered by ``id_cols`` (which must be unique); ``_i`` counts from 0. A repeat gives row ``perm(i)`` the
+    values of row i, by a keyed permutation (see ``bijection``), the same one for every feature, so one row of values
+    per row and repeat is shuffled. A model that is a sum over its features needs what each adds only, and scores all
+    features in one aggregation; others predict once per feature. ``delivered`` turns the raw prediction into the
+    delivered value (default: the prediction itself), so that a model of a difference is scored on the level.
     """
     feats = list(model.features)
-    delivered = F.col("prediction") if delivered is None else delivered
-    order = [F.xxhash64(F.lit(seed), *map(q, id_cols)), *map(q, id_cols)]
     rows = df.where(q(label).isNotNull()).withColumns({c: q(c).cast("double") for c in feats})
-    numbered = global_row_number(rows, order, "_rn").withColumn("_i", F.col("_rn") - 1)
-    n = max(1, numbered.agg(F.count("*")).first()[0])  # without rows the result has none either
-    steps = F.array(*[F.lit(a) for a in _multipliers(n, repeats, seed)])
-    target = F.pmod(F.pmod(F.col("_a") * F.col("_i"), F.lit(n)) + F.pmod(F.xxhash64(F.lit(seed), "_c", "_r"), F.lit(n)), F.lit(n))
-    moved = (
-        numbered.select("_i", F.posexplode(F.array(*map(q, feats))).alias("_c", "_v"))
-        .select("_i", "_c", "_v", F.posexplode(steps).alias("_r", "_a"))
-        .select(target.alias("_i"), "_c", "_r", "_v")
-    )
-    y = q(label)
-    permuted = _with_replaced(numbered.join(moved, "_i"), feats, F.col("_c"), F.col("_v"))
-    per_repeat = model.transform(permuted).groupBy("_c", "_r").agg(stats.rmse(y, delivered).alias("rmse"))
-    base = model.transform(numbered).agg(stats.rmse(y, delivered).alias("b")).scalar()
+    additive = isinstance(model, FittedSum) and delivered is None
+    if additive:
+        placed = rows.withColumns({n: F.expr(e) for n, e in model.parts.places("_importance_").items()})
+        adds = [F.expr(e) for e in model.parts.values("_importance_").values()]
+        rows = placed.select(*map(q, id_cols), (q(label) - F.expr(model.parts.prediction("_importance_"))).alias("_rest"), F.array(*adds).alias("_own"))
+    numbered = materialize(global_row_number(rows, [*map(q, id_cols)], "_rn").withColumn("_i", F.col("_rn") - 1), "numbered")
+    n = max(1, numbered.count())  # without rows the result has none either
+    own = F.col("_own") if additive else F.array(*map(q, feats))
+    repeated = numbered.select("_i", own.alias("_moved"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("_r"))
+    moved = permuted(repeated.withColumn("_key", F.col("_r") + 1000 * seed), "_i", "_key", n, "_to").select(F.col("_to").alias("_i"), "_r", "_moved")
     names = F.array(*[F.lit(c) for c in feats])
+    if additive:
+        met = numbered.select("_i", "_rest", "_own").join(moved, "_i")
+        gaps = [F.col("_rest") + F.get("_own", F.lit(i)) - F.get("_moved", F.lit(i)) for i in range(len(feats))]
+        wide = met.groupBy("_r").agg(F.array(*[F.sqrt(F.avg(g * g)) for g in gaps]).alias("_all"))
+        per_repeat = wide.select("_r", F.posexplode("_all").alias("_c", "rmse"))
+        base = numbered.agg(F.sqrt(F.avg(F.col("_rest") * F.col("_rest"))).alias("b")).scalar()
+    else:
+        y, delivered = q(label), F.col("prediction") if delivered is None else delivered
+        met = numbered.join(moved, "_i").select("*", F.posexplode("_moved").alias("_c", "_v"))
+        per_repeat = model.transform(_with_replaced(met, feats, F.col("_c"), F.col("_v"))).groupBy("_c", "_r").agg(stats.rmse(y, delivered).alias("rmse"))
+        base = model.transform(numbered).agg(stats.rmse(y, delivered).alias("b")).scalar()
     return (
         per_repeat.groupBy("_c")
         .agg(F.avg("rmse").alias("_m"), F.stddev_pop("rmse").alias("importance_std"))
-        .select(names[F.col("_c")].alias("feature"), (F.col("_m") - base).alias("importance_mean"), "importance_std")
+        .select(F.get(names, F.col("_c")).alias("feature"), (F.col("_m") - base).alias("importance_mean"), "importance_std")
     )
 
 
@@ -270,14 +266,29 @@ def _grid(df: DataFrame, col: str, points: int) -> list[float]:
 
 
 def partial_dependence(model: Fitted, df: DataFrame, cols: Sequence[str], points: int = 100) -> DataFrame:
-    """Average prediction over all rows with one feature set to each value of its grid."""
+    """Average prediction over all rows with one feature set to each value of its grid.
+
+    For a model that is a sum over its features that is the mean prediction, less what the feature adds on average,
+    plus what it adds at the value: one aggregation, whatever the grid. Other models score rows × grid.
+    """
     feats = list(model.features)
-    entries = [
-        f"named_struct('c', {feats.index(c)}, 'v', {v!r}D)" for c in cols for v in _grid(df, c, points)
-    ]
-    rows = df.withColumns({c: q(c).cast("double") for c in feats}).withColumn("_g", F.explode(F.expr(f"array({', '.join(entries)})")))
-    scored = model.transform(_with_replaced(rows, feats, F.col("_g.c"), F.col("_g.v")))
+    entries = [(feats.index(c), v) for c in cols for v in _grid(df, c, points)]
     names = F.array(*[F.lit(c) for c in feats])
+    if isinstance(model, FittedSum):
+        rows = df.withColumns({n: F.expr(e) for n, e in model.parts.places("_pd_").items()})
+        adds = model.parts.values("_pd_")
+        means = rows.agg(F.avg(F.expr(model.parts.prediction("_pd_"))), *[F.avg(F.expr(adds[c])) for c in cols]).first()
+        if means[0] is None:
+            return df.sparkSession.createDataFrame([], "feature string, value double, mean_prediction double")
+        rest = {c: means[0] - m for c, m in zip(cols, means[1:])}
+        grid = df.sparkSession.createDataFrame([(feats[i], v, rest[feats[i]]) for i, v in entries], "feature string, value double, _rest double")
+        grid = grid.withColumns({c: F.when(F.col("feature") == c, F.col("value")) for c in feats})
+        grid = grid.withColumns({n: F.expr(e) for n, e in model.parts.places("_pd_").items()})
+        added = F.coalesce(*[F.when(F.col("feature") == c, F.expr(adds[c])) for c in cols])
+        return grid.select("feature", "value", (F.col("_rest") + added).alias("mean_prediction"))
+    listed = ", ".join(f"named_struct('c', {i}, 'v', {v!r}D)" for i, v in entries)
+    rows = df.withColumns({c: q(c).cast("double") for c in feats}).withColumn("_g", F.explode(F.expr(f"array({listed})")))
+    scored = model.transform(_with_replaced(rows, feats, F.col("_g.c"), F.col("_g.v")))
     return (
         scored.groupBy(names[F.col("_g.c")].alias("feature"), F.col("_g.v").alias("value"))
         .agg(F.avg("prediction").alias("mean_prediction"))

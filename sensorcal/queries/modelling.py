@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import align, features as feat, model as m, ordering, timeseries
+from ..operators import align, bijection, features as feat, model as m, ordering, timeseries
 from ..operators.metrics import metrics_pack
 from ..plans.explain import explain_all_channels
 from ..runtime import materialize
 from .alignment import CHANNELS, WIDE_STEPS, aligned_wide, pack_sql
 from .base import big, query, r6, with_views
-from .ridge_sql import ridge_steps
+from .ridge_sql import basis, ridge_steps
 from .series import SPLIT
 
 MC_HUM = [f"mc_hum_{s}" for s in feat.STATS]
@@ -234,16 +234,70 @@ def holdout_predictions(spark, sf_dir):
     return m.holdout_predictions(fitted, test, fx.PAIR_ORDER, "y_true")
 
 
-@query("permutation_importance")
+REPEATS = 20
+
+
+def importance_sql(scored: str, features, order: str, label: str) -> dict[str, str]:
+    """Steps of the importance of an additive model over the rows of ``scored``, up to its RMSE per repeat and feature."""
+    made = bijection.steps("spot", "r", "tested_n", "root", "width", "p_", "//")
+    perm = ", ".join(f"{sql} AS {name}" for name, sql in made)
+    gaps = ", ".join(f'sqrt(avg(pow(x."{c}_rest" - m."add_{c}", 2))) AS "{c}"' for c in features)
+    rest = ", ".join(f'{label} - prediction + "add_{c}" AS "{c}_rest"' for c in features)
+    moved = ", ".join(f'"add_{c}"' for c in features)
+    return {
+        "numbered": f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS spot, count(*) OVER () AS tested_n, {rest} FROM {scored}",
+        "shaped": "SELECT *, floor(sqrt(tested_n))::BIGINT AS root, tested_n // floor(sqrt(tested_n))::BIGINT AS width FROM numbered",
+        "moved": f"SELECT {moved}, r, {perm} FROM shaped, range({REPEATS}) t(r)",
+        "per_repeat": f"SELECT m.r, {gaps} FROM numbered x JOIN moved m ON m.{made[-1][0]} = x.spot GROUP BY m.r",
+        "base": f"SELECT sqrt(avg(pow({label} - prediction, 2))) AS rmse FROM {scored}",
+    }
+
+
+@query(
+    "permutation_importance",
+    with_views(
+        ["pairs"],
+        FIT_ONE | {"tested": "SELECT * FROM scored WHERE part = 'test'"} | importance_sql("tested", ALL, PAIR_ID, "y_true"),
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, {r6(f'avg("{c}") - any_value(rmse)', 'importance_mean')}, {r6(f'stddev_pop("{c}")', 'importance_std')} FROM per_repeat, base"""
+            for c in ALL
+        ),
+    ),
+)
 def permutation_importance(spark, sf_dir):
     fitted, test = _fitted(spark, sf_dir)
-    return m.permutation_importance(fitted, test, "y_true", fx.PAIR_ORDER[1:], repeats=5)
+    return m.permutation_importance(fitted, test, "y_true", fx.PAIR_ORDER[1:], repeats=REPEATS)
 
 
-@query("partial_dependence")
+POINTS = 100
+
+
+def _dependence_sql(c: str) -> dict[str, str]:
+    """Steps of the dependence on a spline feature: its grid, what it adds there, the mean of the other terms."""
+    first = SPLINES.index(c) * 7
+    place = f"(greatest(least(value, l.\"hi_{c}\"), l.\"lo_{c}\") - l.\"lo_{c}\") * 5.0::DOUBLE / (l.\"hi_{c}\" - l.\"lo_{c}\")"
+    few = f"(SELECT count(*) FROM distinct_{c}) < {POINTS}"
+    added = " + ".join(f"w.w[{first + j + 1}] * ({basis('place', j)})" for j in range(7))
+    return {
+        f"distinct_{c}": f'SELECT DISTINCT "{c}"::DOUBLE AS value FROM tested WHERE "{c}" IS NOT NULL',
+        f"grid_{c}": f"SELECT value FROM distinct_{c} WHERE {few} UNION ALL SELECT lo + (hi - lo) * i / {POINTS - 1} FROM "
+        f'(SELECT quantile_cont("{c}", 0.05) AS lo, quantile_cont("{c}", 0.95) AS hi FROM tested), range({POINTS}) t(i) WHERE NOT {few}',
+        f"placed_{c}": f"SELECT value, {place} AS place FROM grid_{c}, limits l",
+        f"added_{c}": f'SELECT value, (SELECT avg(prediction - "add_{c}") FROM tested) + {added} AS mean_prediction FROM placed_{c}, weights w',
+    }
+
+
+@query(
+    "partial_dependence",
+    with_views(
+        ["pairs"],
+        FIT_ONE | {"tested": "SELECT * FROM scored WHERE part = 'test'"} | {n: s for c in SPLINES for n, s in _dependence_sql(c).items()},
+        " UNION ALL ".join(f"SELECT '{c}' AS feature, {r6('value', 'value')}, {r6('mean_prediction', 'mean_prediction')} FROM added_{c}" for c in SPLINES),
+    ),
+)
 def partial_dependence(spark, sf_dir):
     fitted, test = _fitted(spark, sf_dir)
-    return m.partial_dependence(fitted, test, ["y_raw", "hum", "t_days"], points=20)
+    return m.partial_dependence(fitted, test, SPLINES, points=POINTS)
 
 
 def aligned_for_models(spark, sf_dir):

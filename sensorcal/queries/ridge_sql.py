@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 
-def _basis(place: str, j: int) -> str:
+def basis(place: str, j: int) -> str:
     d = f"abs({place} + {1 - j})"
     return (
         f"CASE WHEN {d} < 1 THEN 2.0::DOUBLE / 3 - pow({d}, 2) + pow({d}, 3) / 2 WHEN {d} < 2 THEN pow(2 - {d}, 3) / 6 ELSE 0 END"
@@ -15,7 +15,7 @@ def _basis(place: str, j: int) -> str:
 def ridge_steps(
     members: str, spline: Sequence[str], numeric: Sequence[str], label: str, alpha: float = 2.0, prefix: str = "", knots: int = 6
 ) -> Mapping[str, str]:
-    """Steps up to ``<prefix>scored``: the rows of ``members`` with ``prediction``.
+    """Steps up to ``<prefix>scored``: the rows of ``members`` with ``prediction`` and, per feature, ``add_<feature>``.
 
     ``members`` has a row per row and fit: the fit's number ``s``, whether the row trains it (``train``), the features and the label.
     """
@@ -28,8 +28,13 @@ def ridge_steps(
         f'CASE WHEN "hi_{c}" > "lo_{c}" THEN (greatest(least("{c}_x", "hi_{c}"), "lo_{c}") - "lo_{c}") * {knots - 1}::DOUBLE / ("hi_{c}" - "lo_{c}") ELSE 0 END AS "{c}_p"'
         for c in spline
     )
-    columns = [_basis(f'"{c}_p"', j) for c in spline for j in range(knots + 1)] + [f'"{c}_x"' for c in numeric]
+    columns = [basis(f'"{c}_p"', j) for c in spline for j in range(knots + 1)] + [f'"{c}_x"' for c in numeric]
     w = len(columns)
+    ends = [*((knots + 1) * (i + 1) for i in range(len(spline))), *((knots + 1) * len(spline) + i + 1 for i in range(len(numeric)))]
+    # What each feature adds, up to a constant.
+    adds = ", ".join(
+        f'list_sum(list_transform(range({a + 1}, {b + 1}), lambda i: w.w[i] * xs[i])) AS "add_{c}"' for c, a, b in zip(features, [0, *ends], ends)
+    )
     names = ["x0", *[f"x{i + 1}" for i in range(w)], "_label"]
     products = "[" + ", ".join(
         "[" + ", ".join(f"sum({a} * {b})" if names.index(a) <= names.index(b) else f"sum({b} * {a})" for b in names) + "]" for a in names
@@ -48,6 +53,7 @@ def ridge_steps(
         f"{p}solving": f"SELECT s, 1 AS k, a FROM {p}system UNION ALL SELECT s, k + 1, list_transform(a, lambda r, i: CASE WHEN i = k "
         f"THEN list_transform(r, lambda v: v / a[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * a[k][j] / a[k][k]) END) FROM {p}solving WHERE k <= {w}",
         f"{p}weights": f"SELECT s, n, g, list_transform(range(1, {w + 1}), lambda i: z.a[i][{w + 1}] / sc[i]) AS w FROM {p}system y JOIN {p}solving z USING (s) WHERE z.k = {w + 1}",
-        f"{p}scored": "SELECT d.*, w.g[1][{0}] / w.n + list_sum(list_transform(range(1, {1}), lambda i: w.w[i] * (xs[i] - w.g[1][i + 1] / w.n))) AS prediction "
-        "FROM (SELECT *, [{2}] AS xs FROM {3}design) d JOIN {3}weights w ON d.s = w.s".format(w + 2, w + 1, ", ".join(names[1:-1]), p),
-    }
+        f"{p}scored": f"SELECT d.*, {adds}, w.g[1][{w + 2}] / w.n - list_sum(list_transform(range(1, {w + 1}), lambda i: w.w[i] * w.g[1][i + 1] / w.n)) "
+        f"+ {' + '.join(chr(34) + 'add_' + c + chr(34) for c in features)} AS prediction "
+        f"FROM (SELECT *, [{', '.join(names[1:-1])}] AS xs FROM {p}design) d JOIN {p}weights w ON d.s = w.s",
+    }

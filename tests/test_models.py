@@ -66,10 +66,56 @@ def test_importance_finds_the_drivers_and_repeats(rows):
     assert first == pytest.approx(again)
 
 
-def test_moved_values_are_permutations():
-    for n in (7, 400, 4096):
-        for a in m._multipliers(n, 5, 3):
-            assert len({(a * i + 11) % n for i in range(n)}) == n
+def test_keyed_numbers_are_permutations(spark):
+    from sensorcal.operators.bijection import permuted
+
+    for n in (1, 2, 3, 5, 16, 97, 400, 4099):
+        df = spark.range(n).crossJoin(spark.range(3).select((F.col("id") * 977).alias("k")))
+        places = {}
+        for r in permuted(df, "id", "k", n, "to").collect():
+            places.setdefault(r.k, {})[r.id] = r.to
+        assert all(sorted(p.values()) == list(range(n)) for p in places.values())
+        if n == 4099:
+            moves = np.array([[p[i] for i in range(n)] for p in places.values()])
+            assert (np.abs(np.corrcoef(np.vstack([np.arange(n), moves]))[np.triu_indices(4, 1)]) < 0.06).all()
+            assert len(set(np.diff(moves[0]).tolist())) > n / 4  # no regular stride
+
+
+def test_importance_of_both_kinds_of_models_agrees(rows):
+    """The short way of a sum and the general way score the same permutations."""
+    fitted = m.RidgeSpline(("a",), ("b", "c")).fit(rows, "y")
+    plain = m.Fitted(fitted.pipeline, fitted.features, fitted.name)
+    one, two = ({r.feature: (r.importance_mean, r.importance_std) for r in m.permutation_importance(x, rows, "y", ["id"], repeats=3).collect()} for x in (fitted, plain))
+    assert one.keys() == two.keys() == {"a", "b", "c"}
+    for c in one:
+        assert one[c] == pytest.approx(two[c], abs=1e-9)
+
+
+def test_importance_equals_brute_force(rows):
+    from sensorcal.operators.bijection import permuted
+
+    fitted = m.RidgeSpline(("a",), ("b",)).fit(rows, "y")
+    data = rows.orderBy("id").toPandas()
+    n = len(data)
+    spark = rows.sparkSession
+    errors = []
+    for r in range(3):
+        to = [x.to for x in permuted(spark.range(n).withColumn("k", F.lit(r).cast("long")), "id", "k", n, "to").orderBy("id").collect()]
+        moved = data.copy()
+        moved.loc[to, "a"] = data["a"].to_numpy()
+        out = fitted.transform(spark.createDataFrame(moved)).toPandas()
+        errors.append(np.sqrt(((out.y - out.prediction) ** 2).mean()))
+    base = fitted.transform(rows).toPandas()
+    got = {r.feature: r for r in m.permutation_importance(fitted, rows, "y", ["id"], repeats=3).collect()}["a"]
+    assert got.importance_mean == pytest.approx(np.mean(errors) - np.sqrt(((base.y - base.prediction) ** 2).mean()), abs=1e-9)
+    assert got.importance_std == pytest.approx(np.std(errors), abs=1e-9)
+
+
+def test_dependence_of_both_kinds_of_models_agrees(rows):
+    fitted = m.RidgeSpline(("a",), ("b", "c")).fit(rows, "y")
+    plain = m.Fitted(fitted.pipeline, fitted.features, fitted.name)
+    one, two = ({(r.feature, r.value): r.mean_prediction for r in m.partial_dependence(x, rows, ["a", "b"], points=7).collect()} for x in (fitted, plain))
+    assert len(one) == 14 and one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
 
 
 def test_partial_dependence_follows_a_line(rows):
