@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,29 +23,41 @@ def near_full_hour(micro: DataFrame, time: str, tol_minutes: float) -> DataFrame
     )
 
 
-def hour_window_stats(micro: DataFrame, time: str, value: str, tol_minutes: float = 5) -> DataFrame:
-    """Per full hour: present values, smallest distance, mean, median, sample deviation and interquartile range."""
-    near = near_full_hour(micro, time, tol_minutes).select("hour", "delta_min", q(value).alias("v"))
-    basic = near.groupBy("hour").agg(
+def _beside_group(rows: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left join on a group of columns; NULL keys meet NULL keys."""
+    right = stats.select(*[q(c).alias(f"_s_{c}" if c in group else c) for c in stats.columns])
+    same = reduce(Column.__and__, [q(k).eqNullSafe(q(f"_s_{k}")) for k in group])
+    return rows.join(right, same, "left").drop(*[f"_s_{k}" for k in group])
+
+
+def hour_window_stats(
+    micro: DataFrame, time: str, value: str, tol_minutes: float = 5, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per key and full hour: present values, smallest distance, mean, median, sample deviation and interquartile range."""
+    near = near_full_hour(micro, time, tol_minutes).select(*map(q, keys), "hour", "delta_min", q(value).alias("v"))
+    group = [*keys, "hour"]
+    basic = near.groupBy(*map(q, group)).agg(
         F.count("v").alias("n_points"),
         F.min("delta_min").alias("min_delta"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
     )
-    spread = exact_quantiles(near, ["v"], [0.25, 0.5, 0.75], ["hour"]).select(
-        "hour", F.col("v")[1].alias("median"), (F.col("v")[2] - F.col("v")[0]).alias("iqr")
+    spread = exact_quantiles(near, ["v"], [0.25, 0.5, 0.75], group).select(
+        *map(q, group), F.col("v")[1].alias("median"), (F.col("v")[2] - F.col("v")[0]).alias("iqr")
     )
-    return basic.join(spread, "hour", "left").select(
-        "hour", "n_points", "min_delta", "mean", "median", "std", "iqr"
+    same = [q(k) for k in group]
+    return _beside_group(basic, spread, group).select(
+        *same, "n_points", "min_delta", "mean", "median", "std", "iqr"
     )
 
 
 def align_nearest_hour(
-    station: DataFrame, micro: DataFrame, time: str, value: str, tol_minutes: float = 5, min_median: int = 3
+    station: DataFrame, micro: DataFrame, time: str, value: str, tol_minutes: float = 5, min_median: int = 3, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Station rows ``(hour, y)`` with the sensor's value around that hour (median from ``min_median`` readings on, else mean)."""
-    stats = hour_window_stats(micro, time, value, tol_minutes).select(
-        "hour",
+    """Station rows ``(keys…, hour, y)`` with the sensor's value around that hour (median from ``min_median`` readings on, else mean)."""
+    group = [*keys, "hour"]
+    stats = hour_window_stats(micro, time, value, tol_minutes, keys).select(
+        *map(q, group),
         F.when(F.col("n_points") >= min_median, F.col("median")).otherwise(F.col("mean")).alias("company"),
         "n_points",
         "min_delta",
@@ -52,8 +65,7 @@ def align_nearest_hour(
         F.col("iqr").alias("iqr"),
     )
     return (
-        station.withColumnRenamed("y", "station")
-        .join(stats, "hour", "left")
+        _beside_group(station.withColumnRenamed("y", "station"), stats, group)
         .withColumn("n_points", F.coalesce("n_points", F.lit(0)))
         .withColumn("matched", F.col("n_points") > 0)
     )

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .clean import drop_any_null, q
+from .lookup import beside
 from .quantiles import exact_medians, exact_quantiles, one_row
 
 
-def quantile_edges(df: DataFrame, x: str, bins: int) -> Column:
-    """Distinct bin edges as an array expression (scalar subquery of bins + 1 numbers)."""
-    edges = exact_quantiles(df, [x], [i / bins for i in range(bins + 1)]).toDF("e")
-    return F.array_distinct(one_row(edges)["e"])
+def with_edges(df: DataFrame, x: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_edges``, the distinct quantile edges of x (bins + 1 numbers at most), of all rows or per key."""
+    edges = exact_quantiles(df, [x], [i / bins for i in range(bins + 1)], keys)
+    if keys:
+        return beside(df, edges.select(*map(q, keys), F.array_distinct(q(x)).alias("_edges")), keys)
+    return df.withColumn("_edges", F.array_distinct(one_row(edges.toDF("e"))["e"]))
 
 
 def bin_of(x: Column, edges: Column, bins: int) -> Column:
@@ -22,47 +25,48 @@ def bin_of(x: Column, edges: Column, bins: int) -> Column:
     return F.greatest(below - 1, F.lit(0)).cast("int")
 
 
-def quantile_bin_trend(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """Mean of x and y in quantile bins of x (repeated edges merged)."""
-    df = drop_any_null(df, [x, y]).select(q(x).alias("x"), q(y).alias("y"))
-    return (
-        df.withColumn("_edges", quantile_edges(df, "x", bins))
-        .withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins))
-        .groupBy("bin")
-        .agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
-    )
+def _means(binned: DataFrame, group: Sequence[str]) -> DataFrame:
+    return binned.groupBy(*map(q, group), "bin").agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
+
 
+def quantile_bin_trend(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of x and y in quantile bins of x (repeated edges merged), of all rows or per key."""
+    df = drop_any_null(df, [x, y]).select(*map(q, keys), q(x).alias("x"), q(y).alias("y"))
+    return _means(with_edges(df, "x", bins, keys).withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins)), keys)
 
-def _split(df: DataFrame, cols: Sequence[str]) -> list[Column]:
-    """For each column: is the value at or above the median?"""
-    m = one_row(exact_medians(df, cols))
-    return [F.when(q(c) >= m[c], "high").otherwise("low") for c in cols]
 
+def with_halves(df: DataFrame, halves: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds a column per entry: is its value at or above its median (``high``), of all rows or per key, or below (``low``)?"""
+    cols = list(halves.values())
+    if keys:
+        medians = exact_medians(df, cols, keys).select(*map(q, keys), *[q(c).alias(f"_m{i}") for i, c in enumerate(cols)])
+        near, at = beside(df, medians, keys), [F.col(f"_m{i}") for i in range(len(cols))]
+    else:
+        row = one_row(exact_medians(df, cols))
+        near, at = df, [row[c] for c in cols]
+    marked = near.withColumns({n: F.when(q(c) >= m, "high").otherwise("low") for (n, c), m in zip(halves.items(), at)})
+    return marked.drop(*[f"_m{i}" for i in range(len(cols))])
 
-def interaction_trend(df: DataFrame, x: str, y: str, split: str, bins: int = 15) -> DataFrame:
+
+def interaction_trend(df: DataFrame, x: str, y: str, split: str, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     """As :func:`quantile_bin_trend` with one line per half of ``split``."""
-    df = drop_any_null(df, [x, y, split]).select(q(x).alias("x"), q(y).alias("y"), q(split).alias("s"))
-    return (
-        df.withColumn("half", _split(df, ["s"])[0])
-        .withColumn("_edges", quantile_edges(df, "x", bins))
-        .withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins))
-        .groupBy("half", "bin")
-        .agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
-    )
+    df = drop_any_null(df, [x, y, split]).select(*map(q, keys), q(x).alias("x"), q(y).alias("y"), q(split).alias("s"))
+    halved = with_edges(with_halves(df, {"half": "s"}, keys), "x", bins, keys)
+    return _means(halved.withColumn("bin", bin_of(F.col("x"), F.col("_edges"), bins)), [*keys, "half"])
 
 
-def median_split_2x2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
-    """Count, mean, median and sample deviation of y in the four quadrants of two median splits."""
-    df = drop_any_null(df, [a, b, y]).select(q(a).alias("a"), q(b).alias("b"), q(y).alias("y"))
-    half_a, half_b = _split(df, ["a", "b"])
-    parts = df.select(half_a.alias("a_half"), half_b.alias("b_half"), "y")
-    keys = ["a_half", "b_half"]
-    basic = parts.groupBy(*keys).agg(
+def median_split_2x2(df: DataFrame, a: str, b: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, median and sample deviation of y in the four quadrants of two median splits, of all rows or per key."""
+    df = drop_any_null(df, [a, b, y]).select(*map(q, keys), q(a).alias("a"), q(b).alias("b"), q(y).alias("y"))
+    parts = with_halves(df, {"a_half": "a", "b_half": "b"}, keys).drop("a", "b")
+    group = [*keys, "a_half", "b_half"]
+    basic = parts.groupBy(*map(q, group)).agg(
         F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std")
     )
-    return basic.join(exact_medians(parts, ["y"], keys).withColumnRenamed("y", "median"), keys)
+    return beside(basic, exact_medians(parts, ["y"], group).withColumnRenamed("y", "median"), group)
 
 
 def seeded_sample(df: DataFrame, id_cols: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same rows for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *map(q, id_cols)), *map(q, id_cols)).limit(n)
+    """n rows without replacement, the same rows for the same seed: the smallest digests of seed and ids."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[q(c).cast("string") for c in id_cols]))
+    return df.orderBy(digest, *map(q, id_cols)).limit(n)

@@ -31,6 +31,9 @@ def derived_features(aligned: DataFrame, target: str, hum: str = "Humidity", log
         out[f"log_st_{short_name(log_of)}"] = log_level(q(log_of))
     mc, h = f"mc_{target}_mean", f"mc_{hum}_mean"
     if h in cols:
+        # The leading channel's interaction is a covariate of every target.
+        if log_of and log_of in cols:
+            out[f"{short_name(log_of)}_hum"] = q(log_of) * q(h)
         if target in cols:
             out[f"{short_name(target)}_hum"] = q(target) * q(h)
         if mc in cols:
@@ -55,6 +58,7 @@ def explain_features(columns: Sequence[str], target: str, channels: Sequence[str
         *TIME_FEATURES,
         *QUALITY_FEATURES,
         f"{short_name(target)}_hum",
+        f"{short_name(log_of)}_hum",
     ]
     return list(dict.fromkeys(c for c in wanted if c in columns))
 

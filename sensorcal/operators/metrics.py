@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats
@@ -13,11 +11,13 @@ from .clean import drop_any_null, q
 from .quantiles import exact_quantiles, one_row
 
 
-def agreement_metrics(aligned: DataFrame, truth: str = "station", estimate: str = "company") -> DataFrame:
-    """One row: coverage over all hours, errors over matched hours where both sides are present."""
+def agreement_metrics(
+    aligned: DataFrame, truth: str = "station", estimate: str = "company", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per key: coverage over all hours, errors over matched hours where both sides are present."""
     usable = F.col("matched") & q(truth).isNotNull() & q(estimate).isNotNull()
     t, e = F.when(usable, q(truth)), F.when(usable, q(estimate))
-    return aligned.agg(
+    return aligned.groupBy(*keys).agg(
         F.count("*").alias("total_hours"),
         F.count_if("matched").alias("matched_hours"),
         F.try_divide(F.count_if("matched").cast("double"), F.count("*")).alias("coverage"),
@@ -32,9 +32,9 @@ def matched_pairs(aligned: DataFrame, truth: str = "station", estimate: str = "c
     return drop_any_null(aligned.where("matched"), [truth, estimate])
 
 
-def corr_metrics(pairs: DataFrame, x: str = "station", y: str = "company") -> DataFrame:
-    """One row: errors, Pearson r and the least-squares line ``y = slope * x + intercept``."""
-    return drop_any_null(pairs, [x, y]).agg(
+def corr_metrics(pairs: DataFrame, x: str = "station", y: str = "company", keys: Sequence[str] = ()) -> DataFrame:
+    """Per key: errors, Pearson r and the least-squares line ``y = slope * x + intercept``."""
+    return drop_any_null(pairs, [x, y]).groupBy(*keys).agg(
         F.count("*").alias("n"),
         stats.mae(q(x), q(y)).alias("mae"),
         stats.rmse(q(x), q(y)).alias("rmse"),
@@ -45,20 +45,18 @@ def corr_metrics(pairs: DataFrame, x: str = "station", y: str = "company") -> Da
     )
 
 
-def corr_pvalue(pairs: DataFrame, x: str = "station", y: str = "company") -> DataFrame:
-    """Two-sided p-value of Pearson r: the t-test of the slope of a one-variable regression is the same test."""
-    rows = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(
-        drop_any_null(pairs, [x, y]).select(q(x).alias("_x"), q(y).alias("_y"))
-    )
-    fit = LinearRegression(featuresCol="_f", labelCol="_y", solver="normal").fit(rows)
-    p = float(fit.summary.pValues[0])
-    return corr_metrics(pairs, x, y).select("n", "r", F.lit(p).alias("p_value"))
+def corr_pvalue(pairs: DataFrame, x: str = "station", y: str = "company", keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs, Pearson r and its two-sided p-value, per key."""
+    table = drop_any_null(pairs, [x, y]).groupBy(*keys).agg(F.count("*").alias("n"), stats.pearson(q(x), q(y)).alias("r"))
+    return table.withColumn("p_value", stats.correlation_p_value(F.col("r"), F.col("n")))
 
 
-def residual_trend(pairs: DataFrame, truth: str = "station", estimate: str = "company") -> DataFrame:
-    """One row: least-squares line of the residual over the reference level."""
+def residual_trend(
+    pairs: DataFrame, truth: str = "station", estimate: str = "company", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per key: least-squares line of the residual over the reference level."""
     res = q(estimate) - q(truth)
-    return pairs.agg(
+    return pairs.groupBy(*keys).agg(
         F.count(res).alias("n"),
         F.regr_slope(res, q(truth)).alias("slope"),
         F.regr_intercept(res, q(truth)).alias("intercept"),
@@ -93,9 +91,9 @@ def diurnal_mean(df: DataFrame, ts: str, x: str, keys: Sequence[str] = ()) -> Da
     return df.groupBy(*keys, F.hour(q(ts)).alias("hour_of_day")).agg(F.avg(q(x)).alias("mean"), F.count(q(x)).alias("n"))
 
 
-def residual_band(df: DataFrame, res: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    band = exact_quantiles(df, [res], [lo, hi])
-    return band.select(q(res)[0].alias("q_lo"), q(res)[1].alias("q_hi"))
+def residual_band(df: DataFrame, res: str, lo: float = 0.05, hi: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:
+    band = exact_quantiles(df, [res], [lo, hi], keys)
+    return band.select(*map(q, keys), q(res)[0].alias("q_lo"), q(res)[1].alias("q_hi"))
 
 
 def _cell(x: Column, lo: Column, hi: Column, bins: int) -> Column:

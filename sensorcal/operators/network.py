@@ -6,16 +6,15 @@ Series are regular grids (see ``resample_mean``): one row per (channel, site_id,
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial, reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import haversine_km, unit_sphere
-from ..runtime import materialize, run_together
+from ..runtime import materialize, release
 from ..schema import ScoreParams
+from .clean import q
 from .lookup import beside
+from .ordering import global_row_number
 from .quantiles import exact_quantiles, one_row
 from .timeseries import contiguous_segments, first_difference, minmax01, robust_z
 
@@ -224,34 +223,77 @@ def site_score_avg(scores: DataFrame) -> DataFrame:
     return scores.groupBy(SITE).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def kmeans_anomaly(scores: DataFrame, seed: int = 0, keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """Two clusters of the three scaled indicators for each of ``keys`` (channels are few, one fit each).
+SCALED = ("sci_n", "tci_n", "mci_n")
 
-    The cluster with the lower mean ``ri`` is anomalous; ``cluster_mean_ri`` is the mean of a row's own cluster.
+
+def two_means(scores: DataFrame, cols: Sequence[str] = SCALED, keys: Sequence[str] = ("channel",), rounds: int = 50) -> DataFrame:
+    """Centres ``_c0`` and ``_c1`` (arrays) of two clusters per key, a written table.
+
+    They start at the sites with the lowest and the highest ``ri`` and move to the means of their nearest rows (the first
+    on ties) until none moves, all keys in the same rounds.
     """
-    filled = scores.fillna(0.0, ["sci_n", "tci_n", "mci_n"])
-    rows = VectorAssembler(inputCols=["sci_n", "tci_n", "mci_n"], outputCol="_f").transform(filled)
-
-    def labelled(group: Sequence) -> DataFrame:
-        mine = rows
-        for k, value in zip(keys, group, strict=True):
-            mine = mine.where(F.col(k).eqNullSafe(F.lit(value)))
-        return KMeans(k=2, seed=seed, featuresCol="_f", predictionCol="cluster").fit(mine).transform(mine).drop("_f")
-
-    groups = [tuple(r) for r in rows.select(*keys).distinct().sort(*keys).collect()]
-    if not groups:
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("cluster_mean_ri", "double"), ("anomalous", "boolean"))]
-        return filled.select("*", *none)
-    clustered = reduce(DataFrame.unionByName, run_together(scores.sparkSession, [partial(labelled, g) for g in groups]))
+    keys = list(keys)
+    point, place = F.array(*[F.coalesce(q(c).cast("double"), F.lit(0.0)) for c in cols]), F.struct("ri", SITE)
+    rows = materialize(scores.select(*map(q, keys), "ri", SITE, point.alias("_x")), "points")
+    present = F.when(F.col("ri").isNotNull(), place)
+    first = rows.groupBy(*keys).agg(F.coalesce(F.min_by("_x", present), F.first("_x")).alias("_c0"), F.coalesce(F.max_by("_x", present), F.first("_x")).alias("_c1"))
+    centres, old = materialize(first, "centres"), []
+    count = centres.count()
+    for _ in range(rounds):
+        near = beside(rows, centres, keys, rows_bound=count).withColumn("_in1", _gap("_c1") < _gap("_c0"))
+        means = [
+            F.coalesce(*[F.when(F.count_if(inside) > 0, F.array(*[F.avg(F.when(inside, F.get("_x", F.lit(i)))) for i in range(len(cols))])), F.first(c)]).alias(c)
+            for c, inside in (("_c0", ~F.col("_in1")), ("_c1", F.col("_in1")))
+        ]
+        moved = materialize(near.groupBy(*keys).agg(F.first("_c0").alias("_o0"), F.first("_c1").alias("_o1"), *means), "centres")
+        far = F.aggregate(F.zip_with(F.concat("_c0", "_c1"), F.concat("_o0", "_o1"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: F.greatest(s, d))
+        old.append(centres)
+        centres = moved
+        if not moved.where(far > 1e-12).limit(1).count():
+            break
+    release(rows, *old)
+    out = centres.select(*keys, "_c0", "_c1")
+    out._scratch = centres._scratch
+    return out
+
+
+def _gap(centre: str) -> Column:
+    """Squared distance of the point to a centre."""
+    return F.aggregate(F.zip_with("_x", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+
+def kmeans_anomaly(scores: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
+    """Adds ``cluster`` of the scaled indicators (0 starts at the lowest ``ri``) per key, its mean ``ri`` and ``anomalous``.
+
+    The cluster with the lower mean ``ri`` is anomalous. Missing indicators count as 0.
+    """
+    keys = list(keys)
+    filled = scores.fillna(0.0, list(SCALED))
+    placed = beside(filled, two_means(filled, SCALED, keys), keys).withColumn("_x", F.array(*[q(c).cast("double") for c in SCALED]))
+    clustered = placed.withColumn("cluster", (_gap("_c1") < _gap("_c0")).cast("int")).drop("_x", "_c0", "_c1")
     means = clustered.groupBy(*keys, "cluster").agg(F.avg("ri").alias("cluster_mean_ri"))
     worst = means.groupBy(*keys).agg(F.min_by("cluster", F.struct("cluster_mean_ri", "cluster")).alias("_worst"))
     return (
-        beside(beside(clustered, means, [*keys, "cluster"]), worst, list(keys))
+        beside(beside(clustered, means, [*keys, "cluster"]), worst, keys)
         .withColumn("anomalous", F.col("cluster") == F.col("_worst"))
         .drop("_worst")
     )
 
 
+def pivot_blocks(dev: DataFrame, value: str, keys: Sequence[str] = ("channel",), width: int = 100) -> DataFrame:
+    """Wide ``dt × site`` table as blocks of at most ``width`` sites, for any number of sites.
+
+    A row holds the values of one key, time and block: column ``s<j>`` is the site at place ``block · width + j`` in the
+    order of site ids. The numbering of sites comes from a distributed sort, so no list of sites passes the driver.
+    """
+    keys = list(keys)
+    numbered = global_row_number(dev.select(SITE).distinct(), [SITE], "_at")
+    at = numbered.select(SITE, F.floor((F.col("_at") - 1) / width).alias("block"), F.pmod(F.col("_at") - 1, F.lit(width)).alias("_j"))
+    placed = beside(dev.select(*map(q, keys), "dt", SITE, q(value).alias("_v")), at, [SITE])
+    cells = [F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(f"s{j}") for j in range(width)]
+    return placed.groupBy(*map(q, keys), "dt", "block").agg(*cells)
+
+
 def pivot_by_site(dev: DataFrame, value: str, site_values: Sequence) -> DataFrame:
     """Wide ``dt × site`` table for the given sites."""
     wide = dev.groupBy("dt").pivot(SITE, list(site_values)).agg(F.first(value))

@@ -35,8 +35,8 @@ def score_network(
     """Resample, score all channels in one plan, detect and localize.
 
     The grid, the neighbour edges, the deviations and the scores are each written once. ``report`` has one row
-    per channel: threshold, number of anomalous sites, the worst site and the anomaly windows there (a list no
-    longer than the time grid).
+    per channel: the parameters, the threshold with its kind, number of anomalous sites by threshold and by two
+    clusters, the worst site and the anomaly windows there (a list no longer than the time grid).
     """
     measures = list(dict.fromkeys((*channels, *weather)))
     present = drop_all_null(readings, [net.SITE, time], measures)
@@ -61,10 +61,26 @@ def score_network(
         .agg(F.array_sort(F.collect_list(F.struct("start_index", "end_index", "start_dt", "end_dt", "len"))).alias("windows"))
     )
     counts = anomalous.groupBy("channel").agg(F.count("*").alias("n_anomalous"))
+    clusters = net.kmeans_anomaly(scores).groupBy("channel").agg(
+        F.count("*").alias("n_sites"),
+        F.struct(
+            F.count_if("anomalous").alias("n_anomalous"),
+            F.min(F.when(F.col("anomalous"), F.col("cluster_mean_ri"))).alias("anomalous_mean_ri"),
+            F.min(F.when(~F.col("anomalous"), F.col("cluster_mean_ri"))).alias("other_mean_ri"),
+        ).alias("two_means"),
+    )
+    by_quantile = params.ri_quantile is not None
+    threshold = F.struct(
+        F.lit("quantile" if by_quantile else "fixed").alias("type"),
+        F.col("threshold").alias("value"),
+        F.lit(params.ri_quantile).cast("double").alias("quantile_q"),
+        F.lit(params.ri_fixed).alias("fixed_value"),
+    )
     report = (
         worst.join(net.ri_threshold(scores, params), "channel", "left")
         .join(counts, "channel", "left")
         .join(on_worst, "channel", "left")
+        .join(clusters, "channel", "left")
         .select(
             "channel",
             F.lit(params.k_neighbors).alias("k_neighbors"),
@@ -72,7 +88,11 @@ def score_network(
             F.struct(
                 F.lit(params.alpha).alias("alpha"), F.lit(params.beta).alias("beta"), F.lit(params.gamma).alias("gamma")
             ).alias("weights"),
-            "threshold",
+            "n_sites",
+            F.lit(step_us).alias("step_us"),
+            threshold.alias("threshold"),
+            F.lit(params.jump_z).alias("jump_z"),
+            "two_means",
             F.coalesce("n_anomalous", F.lit(0)).alias("n_anomalous"),
             "worst_site",
             F.coalesce(F.size("windows"), F.lit(0)).alias("n_windows"),

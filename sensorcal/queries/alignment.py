@@ -78,6 +78,33 @@ def agreement_metrics(spark, sf_dir):
     return metrics.agreement_metrics(aligned_hours(spark, sf_dir))
 
 
+KEYED = {
+    "a": ANCHORS.format(t="ts", src="micro_keyed"),
+    "b": NEAREST.format(src="a"),
+    "agg": "SELECT sensor, hour_nearest AS hour, count(v) AS n_points, avg(v) AS mean, median(v) AS median FROM b "
+    "WHERE delta_nearest_min <= 25 GROUP BY 1, 2",
+    "aligned": "SELECT sensor, hour, y AS station, CASE WHEN n_points >= 3 THEN median ELSE mean END AS company, "
+    "coalesce(n_points, 0) AS n_points, coalesce(n_points, 0) > 0 AS matched FROM station_keyed LEFT JOIN agg USING (sensor, hour)",
+    "errors": "SELECT *, CASE WHEN matched THEN company - station END AS res FROM aligned",
+}
+
+
+@query(
+    "agreement_keyed",
+    with_views(
+        ["station_keyed", "micro_keyed"],
+        KEYED,
+        f"SELECT sensor, {big('count(*)', 'total_hours')}, {big('count(*) FILTER (matched)', 'matched_hours')}, "
+        f"{r6('avg(CASE WHEN matched THEN 1.0 ELSE 0.0 END)', 'coverage')}, {r6('avg(n_points) FILTER (res IS NOT NULL)', 'mean_n_points')}, "
+        f"{r6('avg(abs(res))', 'mae')}, {r6('sqrt(avg(res * res))', 'rmse')}, {r6('avg(res)', 'bias')} FROM errors GROUP BY sensor",
+    ),
+)
+def agreement_keyed(spark, sf_dir):
+    """Every sensor against its own reference."""
+    aligned = align.align_nearest_hour(fx.station_keyed(spark, sf_dir), fx.micro_keyed(spark, sf_dir), "ts", "v", 25, keys=["sensor"])
+    return metrics.agreement_metrics(aligned, keys=["sensor"])
+
+
 @query(
     "corr_metrics",
     with_views(
@@ -92,9 +119,30 @@ def corr_metrics(spark, sf_dir):
     return metrics.corr_metrics(matched(spark, sf_dir))
 
 
-@query("corr_pvalue")
+#: The same continued fraction, step by step in a recursive query; the factor in front from the logarithm of the gamma function.
+P_VALUE = {
+    "rn": "SELECT grp, n, r, (n - 2) / 2.0::DOUBLE AS h, r * r AS rr FROM (SELECT grp, count(*) AS n, corr(y_true, hum) AS r FROM pairs GROUP BY grp)",
+    "way": "SELECT *, 1 - rr < (h + 1) / (h + 2.5::DOUBLE) AS direct FROM rn",
+    "ab": "SELECT grp, n, r, rr, direct, CASE WHEN direct THEN h ELSE 0.5::DOUBLE END AS a, CASE WHEN direct THEN 0.5::DOUBLE ELSE h END AS b, "
+    "CASE WHEN direct THEN 1 - rr ELSE rr END AS x, exp(h * ln(1 - rr) + ln(abs(r)) + lgamma(h + 0.5::DOUBLE) - lgamma(h) - ln(pi()) / 2) AS front FROM way",
+    "cf": "SELECT grp, 1 AS m, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS f FROM ab "
+    "UNION ALL SELECT grp, m + 1, c2, d2, f * c1 * d1 * c2 * d2 FROM (SELECT *, 1 + odd / c1 AS c2, 1 / (1 + odd * d1) AS d2 FROM "
+    "(SELECT *, 1 + even / c AS c1, 1 / (1 + even * d) AS d1 FROM (SELECT cf.*, m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)) AS even, "
+    "-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)) AS odd FROM cf JOIN ab USING (grp) WHERE m <= 2000)))",
+}
+
+
+@query(
+    "corr_pvalue",
+    with_views(
+        ["pairs"],
+        P_VALUE,
+        f"SELECT grp, {big('n', 'n')}, {r6('r', 'r')}, {r6('CASE WHEN direct THEN front * f / a ELSE 1 - front * f / a END', 'p_value')} "
+        "FROM cf JOIN ab USING (grp) WHERE m = 2001",
+    ),
+)
 def corr_pvalue(spark, sf_dir):
-    return metrics.corr_pvalue(fx.pairs(spark, sf_dir), "y_true", "y_raw")
+    return metrics.corr_pvalue(fx.pairs(spark, sf_dir), "y_true", "hum", ["grp"])
 
 
 @query(
@@ -299,6 +347,34 @@ def quantile_bin_trend(spark, sf_dir):
     return bins.quantile_bin_trend(residuals(spark, sf_dir), "y_true", "res", 20)
 
 
+@query(
+    "quantile_bin_trend_keyed",
+    with_views(
+        ["pairs"],
+        {
+            "xy": "SELECT grp, y_true AS x, y_raw - y_true AS y FROM pairs",
+            "q": _qbins(20).replace("SELECT", "SELECT grp,") + " GROUP BY grp",
+        },
+        f"SELECT grp, {_BIN} AS bin, {r6('avg(x)', 'x_mean')}, {r6('avg(y)', 'y_mean')}, {big('count(*)', 'n')} FROM xy JOIN q USING (grp) GROUP BY 1, 2",
+    ),
+)
+def quantile_bin_trend_keyed(spark, sf_dir):
+    return bins.quantile_bin_trend(residuals(spark, sf_dir), "y_true", "res", 20, ["grp"])
+
+
+@query(
+    "median_split_2x2_keyed",
+    with_views(
+        ["pairs"],
+        PAIR_RES | {"m": "SELECT grp, median(hum) AS mh, median(y_true) AS my FROM p GROUP BY grp"},
+        "SELECT grp, CASE WHEN hum >= mh THEN 'high' ELSE 'low' END AS a_half, CASE WHEN y_true >= my THEN 'high' ELSE 'low' END AS b_half, "
+        f"{big('count(*)', 'n')}, {r6('avg(res)', 'mean')}, {r6('median(res)', 'median')}, {r6('stddev_samp(res)', 'std')} FROM p JOIN m USING (grp) GROUP BY 1, 2, 3",
+    ),
+)
+def median_split_2x2_keyed(spark, sf_dir):
+    return bins.median_split_2x2(residuals(spark, sf_dir), "hum", "y_true", "res", ["grp"])
+
+
 @query(
     "interaction_trend",
     with_views(
@@ -329,7 +405,15 @@ def median_split_2x2(spark, sf_dir):
     return bins.median_split_2x2(residuals(spark, sf_dir), "hum", "y_true", "res")
 
 
-@query("seeded_sample")
+@query(
+    "seeded_sample",
+    with_views(
+        ["pairs"],
+        PAIR_RES,
+        f"SELECT dt, {', '.join(fx.PAIR_ORDER[1:])}, grp, {r6('y_true', 'y_true')}, {r6('y_raw', 'y_raw')}, {r6('hum', 'hum')}, {r6('res', 'res')} FROM p "
+        f"ORDER BY md5(concat_ws('|', '0', {', '.join(f'{c}::VARCHAR' for c in fx.PAIR_ORDER)})), {', '.join(fx.PAIR_ORDER)} LIMIT 6000",
+    ),
+)
 def seeded_sample(spark, sf_dir):
     return bins.seeded_sample(residuals(spark, sf_dir), fx.PAIR_ORDER, 6000)
 

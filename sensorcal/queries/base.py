@@ -47,8 +47,9 @@ def big(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 
 
-def with_views(views: list[str], steps: Mapping[str, str], final: str) -> str:
-    """``WITH`` query over the named fixture views and further named steps."""
-    ctes = [f"{v} AS ({SQL[v]})" for v in views] + [f"{n} AS ({s})" for n, s in steps.items()]
+def with_views(views: list[str], steps: Mapping[str, str], final: str, once: bool = False) -> str:
+    """``WITH`` query over the named fixture views and further named steps, each computed ``once`` if wanted."""
+    how = "AS MATERIALIZED" if once else "AS"
+    ctes = [f"{v} AS ({SQL[v]})" for v in views] + [f"{n} {how} ({s})" for n, s in steps.items()]
     recursive = any(re.search(rf"\b{n}\b", s) for n, s in steps.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {final}"

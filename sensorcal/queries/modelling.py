@@ -40,6 +40,7 @@ def derived_features(spark, sf_dir):
 
 FEATURE_COLS = [
     *fx.EVENT_TYPES,
+    "log_st_click",
     *[f"mc_{c}_{s}" for c in fx.EVENT_TYPES if c != "view" for s in feat.STATS],
     *MC_HUM,
 ]
@@ -51,15 +52,17 @@ FEATURE_COLS = [
         ["station_wide", "micro_wide"],
         WIDE_STEPS,
         "SELECT hour, "
-        + ", ".join(r6(f'"{c}"', f'"{c}"') for c in FEATURE_COLS)
+        + ", ".join(r6("CASE WHEN click IS NOT NULL THEN ln(1 + greatest(click, 0)) END" if c == "log_st_click" else f'"{c}"', f'"{c}"') for c in FEATURE_COLS)
         + f", {big('coalesce(n_points, 0)', 'n_points')}, {big('min_delta_sec', 'min_delta_sec')}, "
         + r6('"view" * mc_hum_mean', "view_hum")
+        + ", "
+        + r6('"click" * mc_hum_mean', "click_hum")
         + " FROM aligned",
     ),
 )
 def feature_matrix(spark, sf_dir):
-    df = feat.derived_features(aligned_wide(spark, sf_dir), "view", "hum")
-    cols = feat.explain_features(df.columns, "view", fx.EVENT_TYPES, ["hum"])
+    df = feat.derived_features(aligned_wide(spark, sf_dir), "view", "hum", log_of="click")
+    cols = feat.explain_features(df.columns, "view", fx.EVENT_TYPES, ["hum"], "click")
     return df.select("hour", *cols)
 
 

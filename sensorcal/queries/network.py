@@ -202,20 +202,20 @@ def worst_site(spark, sf_dir):
 
 
 WINDOW_Z = 2.0
+WINDOW_STEPS = DEV | {
+    "m1": "SELECT channel, site_id, median(e) AS med FROM dev GROUP BY 1, 2",
+    "m2": "SELECT channel, site_id, med, median(abs(e - med)) + 1e-9 AS mad FROM dev JOIN m1 USING (channel, site_id) GROUP BY 1, 2, 3",
+    "z": f"SELECT channel, site_id, dt, coalesce(abs(0.6745 * (e - med) / mad) > {WINDOW_Z}, false) AS f FROM dev LEFT JOIN m2 USING (channel, site_id)",
+    "n": "SELECT *, row_number() OVER (PARTITION BY channel, site_id ORDER BY dt) AS rn FROM z",
+    "runs": "SELECT *, rn - row_number() OVER (PARTITION BY channel, site_id ORDER BY dt) AS run FROM n WHERE f",
+}
 
 
 @query(
     "anomaly_windows",
     with_views(
         VIEWS,
-        DEV
-        | {
-            "m1": "SELECT channel, site_id, median(e) AS med FROM dev GROUP BY 1, 2",
-            "m2": "SELECT channel, site_id, med, median(abs(e - med)) + 1e-9 AS mad FROM dev JOIN m1 USING (channel, site_id) GROUP BY 1, 2, 3",
-            "z": f"SELECT channel, site_id, dt, coalesce(abs(0.6745 * (e - med) / mad) > {WINDOW_Z}, false) AS f FROM dev LEFT JOIN m2 USING (channel, site_id)",
-            "n": "SELECT *, row_number() OVER (PARTITION BY channel, site_id ORDER BY dt) AS rn FROM z",
-            "runs": "SELECT *, rn - row_number() OVER (PARTITION BY channel, site_id ORDER BY dt) AS run FROM n WHERE f",
-        },
+        WINDOW_STEPS,
         f"SELECT channel, site_id, {big('min(rn) - 1', 'start_index')}, {big('max(rn) - 1', 'end_index')}, min(dt) AS start_dt, "
         f"max(dt) AS end_dt, {big('count(*)', 'len')} FROM runs GROUP BY channel, site_id, run HAVING count(*) >= 2",
     ),
@@ -225,43 +225,115 @@ def anomaly_windows(spark, sf_dir):
     return net.anomaly_windows(materialize(deviation(spark, sf_dir), "deviation"), params)
 
 
-@query("kmeans_anomaly")
+ROUNDS = 25
+
+
+def _two_means_sql() -> dict[str, str]:
+    """Rounds of two clusters; further rounds change nothing once no centre moves."""
+    dist = " + ".join(f"pow({c} - {{0}}.{c}, 2)" for c in net.SCALED)
+    steps = {
+        "pts": "SELECT channel, site_id, ri, " + ", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in net.SCALED) + " FROM scores",
+        "k0": "SELECT channel, 0 AS g, " + ", ".join(f"arg_min({c}, (ri, site_id)) AS {c}" for c in net.SCALED) + " FROM pts GROUP BY channel UNION ALL "
+        "SELECT channel, 1, " + ", ".join(f"arg_max({c}, (ri, site_id))" for c in net.SCALED) + " FROM pts GROUP BY channel",
+    }
+    for i in range(1, ROUNDS + 2):
+        d0, d1 = (" + ".join(f"pow(p.{c} - {k}.{c}, 2)" for c in net.SCALED) for k in ("a", "b"))
+        steps[f"in{i}"] = (
+            f"SELECT p.*, CASE WHEN {d1} < {d0} THEN 1 ELSE 0 END AS cluster FROM pts p JOIN k{i - 1} a ON a.channel = p.channel AND a.g = 0 "
+            f"JOIN k{i - 1} b ON b.channel = p.channel AND b.g = 1"
+        )
+        steps[f"k{i}"] = (
+            f"SELECT k.channel, k.g, " + ", ".join(f"coalesce(avg(p.{c}), any_value(k.{c})) AS {c}" for c in net.SCALED)
+            + f" FROM k{i - 1} k LEFT JOIN in{i} p ON p.channel = k.channel AND p.cluster = k.g GROUP BY 1, 2"
+        )
+    steps["cluster_means"] = f"SELECT channel, cluster, avg(ri) AS cluster_mean_ri FROM in{ROUNDS + 1} GROUP BY 1, 2"
+    steps["worst_cluster"] = "SELECT channel, arg_min(cluster, (cluster_mean_ri, cluster)) AS w FROM cluster_means GROUP BY 1"
+    steps["clustered"] = f"SELECT x.*, cluster_mean_ri, cluster = w AS anomalous FROM in{ROUNDS + 1} x JOIN cluster_means USING (channel, cluster) JOIN worst_cluster USING (channel)"
+    return steps
+
+
+TWO_MEANS = SCORES | _two_means_sql()
+
+
+@query(
+    "kmeans_anomaly",
+    with_views(
+        VIEWS, TWO_MEANS, f"SELECT channel, site_id, {big('cluster', 'cluster')}, {r6('ri', 'ri')}, {r6('cluster_mean_ri', 'cluster_mean_ri')}, anomalous FROM clustered", once=True
+    ),
+)
 def kmeans_anomaly(spark, sf_dir):
-    return net.kmeans_anomaly(materialize(all_scores(spark, sf_dir), "scores"))
+    out = net.kmeans_anomaly(materialize(all_scores(spark, sf_dir), "scores"))
+    return out.select("channel", "site_id", "cluster", "ri", "cluster_mean_ri", "anomalous")
+
+
+WIDTH = 16
 
 
 @query(
     "pivot_deviation",
     with_views(
-        ["site_readings"],
-        {"h": "SELECT date_trunc('hour', ts) AS dt, event_type, avg(v) AS x FROM site_readings GROUP BY 1, 2"},
-        "SELECT dt, "
-        + ", ".join(r6(f"max(CASE WHEN event_type = '{t}' THEN x END)", f"site_{t}") for t in fx.EVENT_TYPES)
-        + " FROM h GROUP BY dt",
+        VIEWS,
+        DEV
+        | {
+            "place": "SELECT site_id, row_number() OVER (ORDER BY site_id) - 1 AS spot FROM (SELECT DISTINCT site_id FROM dev)",
+            "placed": f"SELECT dev.*, spot // {WIDTH} AS block, spot % {WIDTH} AS j FROM dev JOIN place USING (site_id)",
+        },
+        f"SELECT channel, dt, {big('block', 'block')}, " + ", ".join(r6(f"max(e) FILTER (j = {j})", f"s{j}") for j in range(WIDTH)) + " FROM placed GROUP BY channel, dt, block",
     ),
 )
 def pivot_deviation(spark, sf_dir):
-    """Wide hourly table with one column per event type."""
-    hourly = fx.station_wide(spark, sf_dir).withColumnRenamed("hour", "dt")
-    entries = [F.struct(F.lit(t).alias("site_id"), F.col(t).alias("x")) for t in fx.EVENT_TYPES]
-    return net.pivot_by_site(hourly.select("dt", F.inline(F.array(*entries))), "x", fx.EVENT_TYPES)
+    """The spatial deviation of all sites as wide rows, in blocks of sites."""
+    return net.pivot_blocks(materialize(deviation(spark, sf_dir), "deviation"), "e", width=WIDTH)
+
+
+REPORT = ScoreParams(jump_z=JUMP, window_z=WINDOW_Z, window_min_len=2)
 
 
 @query(
     "network_report",
     with_views(
         VIEWS,
-        SCORES,
-        f"SELECT channel, {r6('any_value(threshold)', 'threshold')}, {big('count(*) FILTER (ri < threshold)', 'n_anomalous')}, "
-        "arg_min(site_id, ri) AS worst_site FROM scores JOIN thr USING (channel) GROUP BY channel",
+        TWO_MEANS
+        | {n: s for n, s in WINDOW_STEPS.items() if n not in DEV}
+        | {
+            "worst_ri": "SELECT channel, arg_min(site_id, (ri, site_id)) AS worst_site FROM scores WHERE ri IS NOT NULL GROUP BY channel",
+            "found": "SELECT channel, site_id, min(rn) - 1 AS i0, max(rn) - 1 AS i1, count(*) AS len FROM runs GROUP BY channel, site_id, run HAVING count(*) >= 2",
+            "listed": "SELECT w.channel, worst_site, count(i0) AS n_windows, string_agg(i0 || '-' || i1 || ':' || len, ';' ORDER BY i0) AS windows "
+            "FROM worst_ri w LEFT JOIN found f ON f.channel = w.channel AND f.site_id = w.worst_site GROUP BY 1, 2",
+            "groups": "SELECT channel, count(*) AS n_sites, count(*) FILTER (anomalous) AS n_low, min(cluster_mean_ri) FILTER (anomalous) AS low, "
+            "min(cluster_mean_ri) FILTER (NOT anomalous) AS high FROM clustered GROUP BY channel",
+        },
+        f"SELECT channel, {big('n_sites', 'n_sites')}, {big(DAY_US, 'step_us')}, 'quantile' AS threshold_type, {r6('any_value(threshold)', 'threshold')}, "
+        f"{r6('0.15', 'quantile_q')}, {r6('0.5', 'fixed_value')}, {r6(JUMP, 'jump_z')}, {big('count(*) FILTER (ri < threshold)', 'n_anomalous')}, "
+        f"{big('n_low', 'n_low_cluster')}, {r6('low', 'low_mean_ri')}, {r6('high', 'high_mean_ri')}, worst_site, {big('n_windows', 'n_windows')}, windows "
+        "FROM scores JOIN thr USING (channel) JOIN listed USING (channel) JOIN groups USING (channel) "
+        "GROUP BY channel, n_sites, n_low, low, high, worst_site, n_windows, windows",
+        once=True,
     ),
 )
 def network_report(spark, sf_dir):
     """The whole flow from readings to the report, written as JSON and read back."""
     result = score_network(
-        fx.site_readings(spark, sf_dir), fx.sites(spark, sf_dir), "ts", CHANNELS, ["hum", "wind"], DAY_US, PARAMS
+        fx.site_readings(spark, sf_dir), fx.sites(spark, sf_dir), "ts", CHANNELS, ["hum", "wind"], DAY_US, REPORT
     )
     path = scratch_path(spark, "report")
     write_json(result.report, path)
     back = spark.read.schema(result.report.schema).json(path)
-    return back.select("channel", "threshold", "n_anomalous", "worst_site")
+    window = lambda w: F.concat(w["start_index"], F.lit("-"), w["end_index"], F.lit(":"), w["len"])
+    return back.select(
+        "channel",
+        "n_sites",
+        "step_us",
+        F.col("threshold.type").alias("threshold_type"),
+        F.col("threshold.value").alias("threshold"),
+        "threshold.quantile_q",
+        "threshold.fixed_value",
+        "jump_z",
+        "n_anomalous",
+        F.col("two_means.n_anomalous").alias("n_low_cluster"),
+        F.col("two_means.anomalous_mean_ri").alias("low_mean_ri"),
+        F.col("two_means.other_mean_ri").alias("high_mean_ri"),
+        "worst_site",
+        "n_windows",
+        F.array_join(F.transform("windows", window), ";").alias("windows"),
+    )
