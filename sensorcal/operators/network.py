@@ -6,6 +6,7 @@ Series are regular grids (see ``resample_mean``): one row per (channel, site_id,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,51 +33,115 @@ def _cell_index(axis: str, level: Column) -> Column:
     return F.floor((F.col(axis) + 1) * F.pow(F.lit(2.0), level - 1)).cast("long")
 
 
+# Places that one place is compared with at most, per wanted neighbour; beyond that its cubes are cut smaller.
+PER_NEIGHBOUR = 512
+# A cube with at most so many places is compared as a whole.
+LEAF = 8
+AT = ["level", "cx", "cy", "cz"]
+
+
+def _cubes(points: DataFrame) -> DataFrame:
+    """Every point with its cube at every level."""
+    cell = [_cell_index(a, F.col("level")).alias(f"c{a}") for a in "xyz"]
+    return points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).select("*", *cell)
+
+
+def _edge() -> Column:
+    return F.pow(F.lit(2.0), 1 - F.col("level"))
+
+
+def _cube_distance(farthest: bool) -> Column:
+    """Straight-line distance from the place (x, y, z) to the nearest or the farthest point of a cube."""
+    total = F.lit(0.0)
+    for a in "xyz":
+        lo = F.col(f"c{a}") * _edge() - 1
+        hi = lo + _edge()
+        gap = F.greatest(F.abs(F.col(a) - lo), F.abs(F.col(a) - hi)) if farthest else F.greatest(lo - F.col(a), F.col(a) - hi, F.lit(0.0))
+        total = total + gap * gap
+    return F.sqrt(total)
+
+
+def candidate_cubes(points: DataFrame, k: int) -> DataFrame:
+    """For every place the cubes ``(lat, lon, level, cx, cy, cz, _n)`` that hold its k nearest others, a written table.
+
+    The smallest cube around a place that still holds k others bounds how far they can be, so the cubes of the next
+    larger size around it hold them all. Where these hold too many places, as for a site outside a city, all cubes with
+    more than ``LEAF`` places are cut into their eight parts, and a part goes whose nearest point is farther than the
+    farthest points of parts that hold k others already. This goes on for those places until few are left.
+    """
+    cubes = _cubes(points)
+    counts = materialize(cubes.groupBy(*AT).agg(F.count("*").alias("_n")), "counts")
+    crowded = counts.where((F.col("_n") > k) | (F.col("level") == 0)).select(*AT)
+    place = ["lat", "lon", "x", "y", "z"]
+    # Cube diagonal is sqrt(3) edges < one edge of the next larger level.
+    search = cubes.join(crowded, AT).groupBy(*place).agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
+    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    cell = [_cell_index(a, F.col("level")).alias(f"c{a}") for a in "xyz"]
+    around = search.select("*", *cell)
+    for a in "xyz":
+        around = around.withColumn("_d", F.explode(step)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_d")).drop("_d")
+    whole = Window.partitionBy(*place)
+
+    def written(found: DataFrame) -> DataFrame:
+        """With ``_heavy``: is the place compared with too many, and can its cubes be cut?"""
+        top = F.max(F.when(F.col("level") < LEVELS, F.col("_n"))).over(whole)
+        heavy = (F.sum("_n").over(whole) > PER_NEIGHBOUR * (k + 1)) & (F.coalesce(top, F.lit(0)) > LEAF)
+        return materialize(found.select(*place, *AT, "_n").withColumn("_heavy", heavy), "cubes")
+
+    found = written(beside(around, counts, AT, "inner"))
+    done, scratch, parts = [], [counts], None
+    while True:
+        done.append(found.where("not _heavy").select("lat", "lon", *AT, "_n"))
+        scratch.append(found)
+        if not found.where("_heavy").limit(1).count():
+            break
+        if parts is None:
+            # The eight parts of a cube as one row.
+            parts = counts.where(F.col("level") > 0).select(
+                (F.col("level") - 1).alias("level"),
+                *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"],
+                F.struct(*[F.col(f"c{a}") for a in "xyz"], "_n").alias("_part"),
+            )
+            parts = materialize(parts.groupBy(*AT).agg(F.collect_list("_part").alias("_parts")), "parts")
+            scratch.append(parts)
+        cut = (F.col("_n") > LEAF) & (F.col("level") < LEVELS)
+        large = beside(found.where(F.col("_heavy") & cut).drop("_n"), parts, AT, "inner")
+        smaller = large.select(*place, (F.col("level") + 1).alias("level"), F.inline("_parts")).select(*place, *AT, "_n")
+        kept = smaller.unionByName(found.where(F.col("_heavy") & ~cut).select(*place, *AT, "_n"))
+        bounds = kept.withColumns({"_near": _cube_distance(False), "_far": _cube_distance(True)})
+        # A place itself is among the first k + 1.
+        held = F.sum("_n").over(whole.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
+        reach = F.min(F.when(F.col("_held") > k, F.col("_far"))).over(whole)
+        near = bounds.withColumn("_held", held).withColumn("_reach", reach)
+        # A little slack for rounding; without k others in all there is no bound.
+        found = written(near.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + 1e-9) + 1e-12)))
+    out = materialize(reduce(DataFrame.unionByName, done), "candidates")
+    release(*scratch)
+    return out
+
+
 def knn_sites(sites: DataFrame, k: int = 6) -> DataFrame:
     """The k nearest other sites ``(site_i, rank, site_j, dist_km)``; ties go to the smaller id.
 
-    Exact, without comparing all pairs. Points live in cubes on the unit sphere at every scale. The smallest
-    cube around a place that still holds k other sites bounds how far its neighbours can be; the next larger
-    cube size and its 26 surrounding cubes then contain all of them. Sites at one place are represented by
+    Exact, without comparing all pairs. Points live in cubes on the unit sphere at every scale; see
+    :func:`candidate_cubes` for how few of them a place is compared with. Sites at one place are represented by
     their k + 1 smallest ids, so a crowd of co-located sites adds no work.
     """
     x, y, z = unit_sphere(F.col("lat"), F.col("lon"))
     here = Window.partitionBy("lat", "lon").orderBy(SITE)
-    points = (
+    points = materialize(
         sites.select(SITE, "lat", "lon", F.row_number().over(here).alias("_m"))
         .where(F.col("_m") <= k + 1)
-        .select(SITE, "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
-    )
-    level = F.col("level")
-    cell = [_cell_index(a, level).alias(f"c{a}") for a in "xyz"]
-    cubes = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).select("*", *cell)
-    at = ["level", "cx", "cy", "cz"]
-    crowded = cubes.groupBy(*at).agg(F.count("*").alias("_n")).where((F.col("_n") > k) | (F.col("level") == 0))
-    # Cube diagonal is sqrt(3) edges < one edge of the next larger level.
-    search = (
-        cubes.join(crowded, at)
-        .groupBy("lat", "lon", "x", "y", "z")
-        .agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
-    )
-    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    block = (
-        search.select("*", *cell)
-        .withColumn("dx", F.explode(step))
-        .withColumn("dy", F.explode(step))
-        .withColumn("dz", F.explode(step))
-        .select(
-            F.col("lat").alias("lat_i"),
-            F.col("lon").alias("lon_i"),
-            "level",
-            *[(F.col(f"c{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"],
-        )
+        .select(SITE, "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z")),
+        "points",
     )
-    other = cubes.select(*at, F.col(SITE).alias("site_j"), "lat", "lon")
+    wanted = candidate_cubes(points, k).select(F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), *AT)
+    other = _cubes(points).select(*AT, F.col(SITE).alias("site_j"), "lat", "lon")
     dist = haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat"), F.col("lon"))
     best = Window.partitionBy("lat_i", "lon_i").orderBy("dist_km", "site_j")
     # One more than k, because a site finds itself among the members of its own place.
     near = (
-        block.join(other, at)
+        wanted.join(other, AT)
         .select("lat_i", "lon_i", "site_j", dist.alias("dist_km"))
         .withColumn("_r", F.row_number().over(best))
         .where(F.col("_r") <= k + 1)
@@ -182,7 +247,9 @@ def reliability_index(
 ) -> DataFrame:
     """Scores per site: the three indicators, their [0, 1] forms per key, and ``ri`` = 1 − weighted sum."""
     on = [*keys, SITE]
-    scores = minmax01(sci_t.join(tci_t, on, "left").join(mci_t, on, "left"), ["sci", "tci", "mci"], keys)
+    # One row per site, read twice.
+    raw = materialize(sci_t.join(tci_t, on, "left").join(mci_t, on, "left"), "indicators")
+    scores = minmax01(raw, ["sci", "tci", "mci"], keys)
     ri = 1 - (
         F.lit(params.alpha) * F.col("sci_n") + F.lit(params.beta) * F.col("tci_n") + F.lit(params.gamma) * F.col("mci_n")
     )

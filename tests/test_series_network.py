@@ -99,6 +99,34 @@ def test_knn_equals_brute_force(spark, kind):
         np.testing.assert_allclose(got[i], want[i], atol=2e-5)
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_city_and_outskirts_are_compared_with_few(spark, monkeypatch, most):
+    """A thousand sites in a city and sixty far outside: nobody is compared with the whole city."""
+    monkeypatch.setattr(net, "PER_NEIGHBOUR", most)
+    rng = np.random.default_rng(8)
+    city = [(i, 30 + float(a), 114 + float(b)) for i, (a, b) in enumerate(rng.uniform(-0.005, 0.005, (1000, 2)))]
+    far = [(1000 + i, 30 + 3 * np.cos(t), 114 + 3 * np.sin(t)) for i, t in enumerate(np.linspace(0, 6, 60))]
+    pts = [(i, float(a), float(b)) for i, a, b in city + far]
+    df = spark.createDataFrame(pts, "site_id int, lat double, lon double")
+    from sensorcal.functions.geo import unit_sphere
+
+    x, y, z = unit_sphere(F.col("lat"), F.col("lon"))
+    cubes = net.candidate_cubes(df.select("site_id", "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z")), 4)
+    compared = cubes.groupBy("lat", "lon").agg(F.sum("_n").alias("n"))
+    assert compared.count() == len(pts) and compared.agg(F.max("n")).first()[0] <= 64 * 5
+    got = {}
+    for r in net.knn_sites(df, 4).orderBy("site_i", "rank").collect():
+        got.setdefault(r.site_i, []).append(round(r.dist_km, 7))
+    some = {i: d for i, d in brute_knn(pts[::25] + far, 0).items()}
+    want = {}
+    la, lo = np.radians([p[1] for p in pts]), np.radians([p[2] for p in pts])
+    for i in some:
+        a = np.sin((la - la[i]) / 2) ** 2 + np.cos(la[i]) * np.cos(la) * np.sin((lo - lo[i]) / 2) ** 2
+        want[i] = np.sort(np.delete(2 * 6371 * np.arcsin(np.sqrt(a)), i))[:4]
+    for i in want:
+        np.testing.assert_allclose(got[i], want[i], atol=2e-5)
+
+
 def test_scores_within_bounds(spark):
     rng = np.random.default_rng(5)
     rows = [("c", s, T0 + timedelta(days=d), float(v)) for s in range(8) for d, v in enumerate(rng.normal(10, 2, 20))]
