@@ -185,9 +185,13 @@ def spatial_deviation(
     )
 
 
+def mean_per_site(dev: DataFrame, value: str, name: str, keys: Sequence[str] = ("channel",)) -> DataFrame:
+    return dev.groupBy(*keys, SITE).agg(F.avg(value).alias(name))
+
+
 def sci(dev: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
     """Spatial consistency per site: mean deviation over time."""
-    return dev.groupBy(*keys, SITE).agg(F.avg("e").alias("sci"))
+    return mean_per_site(dev, "e", "sci", keys)
 
 
 def jump_rate_tci(series: DataFrame, x: str = "x", keys: Sequence[str] = ("channel",), jump_z: float = 3.5) -> DataFrame:

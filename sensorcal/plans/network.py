@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import network as net
-from ..operators.clean import drop_all_null, q
+from ..operators.clean import drop_all_null
+from ..operators.halo import neighbour_deviations
 from ..operators.timeseries import resample_mean
 from ..runtime import materialize
 from ..schema import ScoreParams
@@ -32,7 +33,7 @@ def score_network(
     step_us: int,
     params: ScoreParams = ScoreParams(),
 ) -> NetworkResult:
-    """Resample, score all channels in one plan, detect and localize.
+    """Resample, score all channels from one exchange of the grid, detect and localize.
 
     The grid, the neighbour edges, the deviations and the scores are each written once. ``report`` has one row
     per channel: the parameters, the threshold with its kind, number of anomalous sites by threshold and by two
@@ -42,16 +43,10 @@ def score_network(
     present = drop_all_null(readings, [net.SITE, time], measures)
     grid = materialize(resample_mean(present, time, step_us, measures, [net.SITE]), "grid")
     edges = materialize(net.knn_sites(sites, params.k_neighbors), "edges")
-    entries = [F.struct(F.lit(c).alias("channel"), q(c).alias("x")) for c in channels]
-    series = grid.select(net.SITE, "dt", F.inline(F.array(*entries)))
-    dev = materialize(net.spatial_deviation(series, edges, eps=params.eps), "deviation")
-    similar = net.weather_neighbours(grid, edges, weather, params.k_meteo, params.eps)
-    scores = materialize(
-        net.reliability_index(
-            net.sci(dev), net.jump_rate_tci(series, jump_z=params.jump_z), net.mci(series, similar, eps=params.eps), params
-        ),
-        "scores",
-    )
+    dev = neighbour_deviations(grid, sites, edges, channels, weather, params.k_meteo, params.eps, block_us=256 * step_us)
+    dev = materialize(dev, "deviation")
+    tci = net.jump_rate_tci(dev, jump_z=params.jump_z)
+    scores = materialize(net.reliability_index(net.sci(dev), tci, net.mean_per_site(dev, "e_meteo", "mci"), params), "scores")
     anomalous = net.anomaly_sites(scores, params)
     windows = materialize(net.anomaly_windows(dev, params), "windows")
     worst = net.worst_site(scores)

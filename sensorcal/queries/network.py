@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.time import DAY_US
 from ..operators import network as net, timeseries
+from ..operators.halo import neighbour_deviations
 from ..plans.network import score_network
 from ..runtime import materialize, scratch_path
 from ..schema import ScoreParams
@@ -91,15 +92,13 @@ def deviation(spark, sf_dir):
 
 
 def all_scores(spark, sf_dir):
-    """All channels' scores in one plan; the resampled grid and the neighbour edges are written once."""
+    """All channels' scores from one exchange of the grid; the grid, the neighbour edges and the deviations are written once."""
     grid = materialize(weather(spark, sf_dir), "grid")
     near = materialize(edges(spark, sf_dir), "edges")
-    series = series_of(grid)
+    dev = neighbour_deviations(grid, fx.sites(spark, sf_dir), near, CHANNELS, ["hum", "wind"], PARAMS.k_meteo)
+    dev = materialize(dev, "deviation")
     return net.reliability_index(
-        net.sci(net.spatial_deviation(series, near)),
-        net.jump_rate_tci(series, jump_z=JUMP),
-        net.mci(series, net.weather_neighbours(grid, near, ["hum", "wind"], PARAMS.k_meteo)),
-        PARAMS,
+        net.sci(dev), net.jump_rate_tci(dev, jump_z=JUMP), net.mean_per_site(dev, "e_meteo", "mci"), PARAMS
     )
 
 

@@ -127,6 +127,32 @@ def test_city_and_outskirts_are_compared_with_few(spark, monkeypatch, most):
         np.testing.assert_allclose(got[i], want[i], atol=2e-5)
 
 
+@pytest.mark.parametrize("size, block", [(64, 256), (3, 4), (1, 1)])
+def test_one_exchange_equals_the_joins(spark, size, block):
+    """Any cells and blocks: same deviations as by joining neighbours; gaps, a missing row, a site without a place."""
+    from sensorcal.functions.time import DAY_US
+    from sensorcal.operators.halo import neighbour_deviations, site_cells
+
+    rng = np.random.default_rng(9)
+    rows = [(s, T0 + timedelta(days=d), *(None if rng.random() < 0.15 else float(v) for v in rng.normal(10, 2, 4))) for s in range(14) for d in range(11) if (s, d) != (3, 5)]
+    grid = spark.createDataFrame(rows, "site_id int, dt timestamp_ntz, a double, b double, w double, v double")
+    places = [(s, 30 + float(x), 114 + float(y)) for s, (x, y) in enumerate(rng.uniform(0, 1, (13, 2)))]
+    sites = spark.createDataFrame(places, "site_id int, lat double, lon double")
+    edges = net.knn_sites(sites, 4).cache()
+    assert site_cells(sites, size).groupBy("cell").count().agg(F.max("count")).first()[0] <= size
+    got = neighbour_deviations(grid, sites, edges, ["a", "b"], ["w", "v"], 2, block_us=block * DAY_US, size=size)
+    series = grid.select("site_id", "dt", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("x")) for c in "ab"])))
+    want = net.spatial_deviation(series, edges)
+    similar = net.weather_neighbours(grid, edges, ["w", "v"], 2)
+    key = lambda r: (r.channel, r.site_id, r.dt)
+    plain = lambda r: tuple(None if v is None else round(v, 9) for v in (r.x, r.ref, r.e))
+    got_rows = got.collect()
+    assert {key(r): plain(r) for r in got_rows} == {key(r): plain(r) for r in want.collect()} and len(got_rows) == 2 * len(rows)
+    mci = {(r.channel, r.site_id): r.mci for r in net.mci(series, similar).collect()}
+    mine = {(r.channel, r.site_id): r.mci for r in net.mean_per_site(spark.createDataFrame(got_rows, got.schema), "e_meteo", "mci").collect()}
+    assert mine.keys() == mci.keys() and all(mine[k] == pytest.approx(mci[k]) or mine[k] == mci[k] for k in mci)
+
+
 def test_scores_within_bounds(spark):
     rng = np.random.default_rng(5)
     rows = [("c", s, T0 + timedelta(days=d), float(v)) for s in range(8) for d, v in enumerate(rng.normal(10, 2, 20))]
