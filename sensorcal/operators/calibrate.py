@@ -57,7 +57,7 @@ def gated_posthoc(
 ) -> DataFrame:
     """Correction per key fitted on the ``cal`` rows and kept only when it lowers their RMSE by the share ``min_gain``.
 
-    Keys with fewer than ``min_train`` training rows stay uncorrected. Columns ``a, b, posthoc_used, gain``.
+    Keys with fewer than ``min_train`` training rows stay uncorrected. Columns ``a, b, posthoc_used, gain, n_train``.
     """
     keys = list(keys)
     cal = q(part) == "cal"
@@ -90,6 +90,7 @@ def gated_posthoc(
         F.when(F.col("posthoc_used"), F.col("b")).otherwise(F.lit(0.0)).alias("b"),
         "posthoc_used",
         F.when(F.col("posthoc_used"), F.col("before") - F.col("after")).otherwise(F.lit(0.0)).alias("gain"),
+        "n_train",
     )
 
 
@@ -121,3 +122,30 @@ def calibration_summary(df: DataFrame, y_true: str, raw: str, cal: str, keys: Se
             "improve_mae": F.col("base_mae") - F.col("cal_mae"),
         }
     )
+
+
+def performance_table(
+    delivered: DataFrame,
+    gate: DataFrame,
+    y_true: str,
+    raw: str,
+    cal: str,
+    keys: Sequence[str],
+    part: str = "part",
+    method: str = "direct",
+    tol_minutes: float | None = None,
+) -> DataFrame:
+    """:func:`calibration_summary` per key and part with how the key was calibrated.
+
+    Adds ``n_train, n_test, cal_method, tol_minutes, used_fallback, posthoc_used, posthoc_a, posthoc_b, posthoc_gain``;
+    ``gate`` is what :func:`gated_posthoc` gave for the keys, ``delivered`` carries ``used_fallback``.
+    """
+    keys = list(keys)
+    line = gate.select(*map(q, keys), "posthoc_used", F.col("a").alias("posthoc_a"), F.col("b").alias("posthoc_b"), F.col("gain").alias("posthoc_gain"))
+    counts = delivered.groupBy(*map(q, keys)).agg(
+        F.count_if(q(part) != "test").alias("n_train"), F.count_if(q(part) == "test").alias("n_test"), F.first("used_fallback").alias("used_fallback")
+    )
+    table = calibration_summary(delivered, y_true, raw, cal, [*keys, part])
+    return beside(beside(table, counts, keys), line, keys).withColumns(
+        {"cal_method": F.lit(method), "tol_minutes": F.lit(tol_minutes).cast("double")}
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,3 +57,16 @@ def explain_all_channels(aligned: DataFrame, channels: Sequence[str], weather: S
     types = {str: "string", int: "long", float: "double"}
     schema = ", ".join(f"{c} {types[type(v)]}" for c, v in rows[0].items())
     return aligned.sparkSession.createDataFrame(rows, schema)
+
+
+def importance_table(
+    aligned: DataFrame, channels: Sequence[str], weather: Sequence[str], time: str, id_cols: Sequence[str] = (), repeats: int = 20, **kw
+) -> DataFrame:
+    """``target, feature, importance_mean, importance_std`` of every channel's error model on its hold-out rows."""
+    aligned = materialize(aligned, "aligned")
+
+    def one(target: str) -> DataFrame:
+        fitted, predicted, _ = explain_channel(aligned, target, channels, weather, time, id_cols, **kw)
+        return m.permutation_importance(fitted, predicted.drop("prediction", "residual"), "error", [time, *id_cols], repeats).withColumn("target", F.lit(target))
+
+    return reduce(DataFrame.unionByName, run_together(aligned.sparkSession, [partial(one, t) for t in channels]))

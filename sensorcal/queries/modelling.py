@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import align, bijection, features as feat, model as m, ordering, timeseries
 from ..operators.metrics import metrics_pack
-from ..plans.explain import explain_all_channels
+from ..plans.explain import explain_all_channels, importance_table as explain_table
 from ..runtime import materialize
 from .alignment import CHANNELS, WIDE_STEPS, aligned_wide, pack_sql
 from .base import big, query, r6, with_views
@@ -311,6 +311,12 @@ def aligned_for_models(spark, sf_dir):
     return materialize(timeseries.time_features(wide, "hour"), "aligned")
 
 
+@query("explain_importance")
+def explain_importance(spark, sf_dir):
+    """Importance of the features in the error model of every channel."""
+    return explain_table(aligned_for_models(spark, sf_dir), fx.EVENT_TYPES, ["hum"], "hour", k=2, boosted={"iterations": 2})
+
+
 @query("explain_all_channels")
 def explain_channels(spark, sf_dir):
     return explain_all_channels(

@@ -7,7 +7,7 @@ from compare import SF, compare
 
 from sensorcal.queries import ORACLES, QUERIES
 
-ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES) - {"explain_all_channels", "calibrate_channels"})
+ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES) - {"explain_all_channels", "calibrate_channels", "explain_importance", "calibrate_importance"})
 
 
 def check_plan(df):
