@@ -13,6 +13,10 @@ from .lookup import beside
 from .quantiles import exact_medians, one_row
 
 
+# Bins of a gap that one task's array holds at most.
+GAP_BLOCK = 4096
+
+
 def time_features(df: DataFrame, ts: str) -> DataFrame:
     """Calendar columns; ``t_days`` counts from the table's first time."""
     t = q(ts)
@@ -37,19 +41,35 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def resample_mean(df: DataFrame, ts: str, step_us: int, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Means on a fixed grid: every key gets every bin between the first and the last of the table, empty bins as NULL."""
+    """Means on a fixed grid: every key gets every bin between the first and the last of the table, empty bins as NULL.
+
+    Missing bins come from the gaps between a key's bins, and before its first and after its last; a gap is cut into
+    blocks that are dealt out, so no array is longer than ``GAP_BLOCK`` bins and a key without readings for years is
+    no single task's work. Nothing is joined. The bins that have readings are written once.
+    """
     keys = list(keys)
     binned = df.select(*map(q, keys), floor_to(q(ts), step_us).alias("dt"), *map(q, cols))
-    means = binned.groupBy(*keys, "dt").agg(*[F.avg(q(c)).alias(c) for c in cols])
-    span = one_row(df.agg(F.min(q(ts)).alias("t0"), F.max(q(ts)).alias("t1")))
-    lo, hi = (epoch_us(floor_to(span[c], step_us)) for c in ("t0", "t1"))
-    grid = (
-        df.select(*map(q, keys))
-        .distinct()
-        .withColumn("_us", F.explode(F.sequence(lo, hi, F.lit(step_us))))
-        .select(*map(q, keys), from_epoch_us(F.col("_us")).alias("dt"))
+    means = materialize(binned.groupBy(*map(q, keys), "dt").agg(*[F.avg(q(c)).alias(c) for c in cols]), "bins")
+    us, step = epoch_us(F.col("dt")), F.lit(step_us)
+    span = one_row(means.agg(F.min("dt").alias("t0"), F.max("dt").alias("t1")))
+    lo, hi = epoch_us(span["t0"]) - step, epoch_us(span["t1"]) + step
+    following = F.lead(us).over(Window.partitionBy(*map(q, keys)).orderBy("dt"))
+    between = means.where(F.col("dt").isNotNull()).select(*map(q, keys), us.alias("_a"), following.alias("_b"))
+    # A key without any time has one gap from end to end.
+    ends = means.groupBy(*map(q, keys)).agg(F.min(us).alias("_first"), F.max(us).alias("_last")).select(
+        *map(q, keys),
+        F.inline(F.array(F.struct(lo.alias("_a"), F.coalesce("_first", hi).alias("_b")), F.struct(F.col("_last").alias("_a"), hi.alias("_b")))),
+    )
+    gaps = between.unionByName(ends).where(F.col("_b") - F.col("_a") > step).withColumn("_n", F.floor((F.col("_b") - F.col("_a")) / step) - 1)
+    block = F.lit(GAP_BLOCK).cast("long")
+    blocks = gaps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, block)).alias("_s"))
+    dealt = blocks.repartition(*map(q, keys), "_a", "_s")
+    bins = dealt.select(*map(q, keys), "_a", F.explode(F.sequence(F.col("_s") + 1, F.least(F.col("_s") + block, F.col("_n")))).alias("_i"))
+    kinds = {f.name: f.dataType for f in means.schema}
+    empty = bins.select(
+        *map(q, keys), from_epoch_us(F.col("_a") + F.col("_i") * step).alias("dt"), *[F.lit(None).cast(kinds[c]).alias(c) for c in cols]
     )
-    return grid.join(means, [*keys, "dt"], "left")
+    return means.where(F.col("dt").isNotNull()).unionByName(empty)
 
 
 def first_difference(df: DataFrame, x: str, order: str, keys: Sequence[str]) -> DataFrame:

@@ -35,6 +35,18 @@ def test_resample_keeps_empty_bins(spark):
     assert [(r.k, r.v) for r in out] == [("a", 1.0), ("a", None), ("a", None), ("a", 3.0), ("b", None), ("b", 2.0), ("b", None), ("b", None)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_gaps_are_filled_block_by_block(spark, monkeypatch, block):
+    """Every key has every bin once: gaps at both ends and inside, a NULL key, a key without any time."""
+    monkeypatch.setattr(ts, "GAP_BLOCK", block)
+    at = {"a": [0, 1, 9], "b": [4], None: [2, 3], "none": []}
+    rows = [(k, T0 + timedelta(hours=h, minutes=7), float(h)) for k, hours in at.items() for h in hours] + [("none", None, 1.0)]
+    out = ts.resample_mean(spark.createDataFrame(rows, "k string, t timestamp_ntz, v double"), "t", HOUR_US, ["v"], ["k"]).collect()
+    got = {(r.k, r.dt): r.v for r in out}
+    want = {(k, T0 + timedelta(hours=h)): float(h) if h in hours else None for k, hours in at.items() for h in range(10)}
+    assert len(out) == 40 and got == want
+
+
 def test_runs_end_at_missing(spark):
     flags = [True, True, None, True, False, True, True, True]
     df = spark.createDataFrame([("k", i, f) for i, f in enumerate(flags)], "k string, i int, f boolean")
