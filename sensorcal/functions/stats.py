@@ -93,4 +93,4 @@ def correlation_p_value(r: Column, n: Column) -> Column:
     direct = front * _beta_fraction(a, half, x, steps) / a
     other = 1 - front * _beta_fraction(half, a, rr, steps) / half
     inside = F.when(r == 0, 1.0).when(x < (a + 1) / (a + 2.5), direct).otherwise(other)
-    return F.when(n < 3, None).when(F.abs(r) >= 1, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside)))
+    return F.when((n < 3) | r.isNull(), None).when(F.abs(r) >= 1, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside)))
