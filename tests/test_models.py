@@ -101,9 +101,8 @@ def test_importance_equals_brute_force(rows):
     errors = []
     for r in range(3):
         to = [x.to for x in permuted(spark.range(n).withColumn("k", F.lit(r).cast("long")), "id", "k", n, "to").orderBy("id").collect()]
-        moved = data.copy()
-        moved.loc[to, "a"] = data["a"].to_numpy()
-        out = fitted.transform(spark.createDataFrame(moved)).toPandas()
+        moved = spark.createDataFrame(list(zip(to, data["a"].tolist())), "id int, a double")
+        out = fitted.transform(rows.drop("a").join(moved, "id")).toPandas()
         errors.append(np.sqrt(((out.y - out.prediction) ** 2).mean()))
     base = fitted.transform(rows).toPandas()
     got = {r.feature: r for r in m.permutation_importance(fitted, rows, "y", ["id"], repeats=3).collect()}["a"]
