@@ -9,8 +9,9 @@ from ..operators.metrics import metrics_pack
 from ..runtime import scratch_path
 from ..sources import files
 from ..sources.models import load_model, save_model
+from .alignment import pack_sql
 from .base import big, query, r6, with_views
-from .modelling import _fitted
+from .modelling import FIT_ONE, _fitted
 
 
 @query("csv_roundtrip", with_views(["micro"], {}, f"SELECT event_id, ts, {r6('v', 'v')}, {r6('hum', 'hum')} FROM micro"))
@@ -64,7 +65,14 @@ def multi_file_scan(spark, sf_dir):
     return files.read_keyed_csv(spark, path, "*.csv", r"/target=([^/]+)/", schema, "target")
 
 
-@query("model_save_load")
+@query(
+    "model_save_load",
+    with_views(
+        ["pairs"],
+        FIT_ONE,
+        f"SELECT 'direct' AS method, {big('count(*)', 'n')}, {pack_sql('y_true', 'prediction')} FROM scored WHERE part = 'test'",
+    ),
+)
 def model_save_load(spark, sf_dir):
     fitted, test = _fitted(spark, sf_dir)
     path = scratch_path(spark, "model")
