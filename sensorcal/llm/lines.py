@@ -1,9 +1,14 @@
 """Line dedup by pairwise alignment.
 
-A document is compared with the earlier documents that were the first to hold one of its lines: so every repeated
-line has a partner, and a line that many documents share costs one pair for each of them. The two sequences of line
-hashes are aligned by patience diff; aligned common blocks with enough words are deleted from the later document. The first
-document that holds a line never loses it, as no earlier document has it.
+Documents with the same lines throughout are copies: the first keeps them, the others lose them all. The others are
+compared by runs: from each line on, the shortest run of lines with enough words for a block. Two documents have a common
+block just if they have a common run. A rare run, which few documents hold, makes a pair of each two of them; one that
+many hold pairs each with the first that holds it, which costs one pair a document. The two sequences of line hashes are
+aligned by patience diff; aligned common blocks with enough words are deleted from the later document. The first document
+that holds a run never loses it whole, as no earlier document has it.
+
+Where the range between two anchors has no line that occurs once in both, patience takes its rarest line and goes on, so a
+pair of texts of n lines that only repeat each other's lines can take n steps over n lines.
 """
 
 from __future__ import annotations
@@ -12,14 +17,22 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.lookup import beside
 from ..runtime import materialize
-from .common import SPACES, WORD
+from .common import SPACES, WORD, fresh
 
 #: Aligned blocks with fewer words stay: short lines agree by chance.
 MIN_BLOCK_WORDS = 10
+#: A run that at most so many documents hold pairs all of them; a commoner one pairs each with the first.
+RARE = 8
+#: Any odd number without a pattern.
+BASE = 0x9E3779B97F4A7C15
+#: Pairs that meet one copy of an earlier document's lines, about.
+LOT = 512
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -92,40 +105,83 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("text"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BLOCK_WORDS) -> DataFrame:
+def runs(lines: Sequence[int], words: Sequence[int], least: int = MIN_BLOCK_WORDS) -> np.ndarray:
+    """For each line with a word, a hash of the shortest run from it on that has ``least`` words, if there is one; each once."""
+    line, n = np.asarray(lines, dtype=np.int64).view(np.uint64), len(lines)
+    upto = np.concatenate([[0], np.cumsum(np.asarray(words, dtype=np.int64))])
+    end = np.searchsorted(upto, upto[:-1] + least)
+    start = np.flatnonzero((end <= n) & (upto[1:] > upto[:-1]))
+    # Line k of a run counts times the k-th power of an odd number, modulo 2^64: a difference of sums, divided by the power at its start.
+    power = np.cumprod(np.full(n + 1, BASE, dtype=np.uint64))
+    inverse = np.cumprod(np.full(n + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(line * power[:n], dtype=np.uint64)])
+    return np.unique((total[end[start]] - total[start]) * inverse[start] + power[end[start] - start]).view(np.int64)
+
+
+def _pairs(held: DataFrame, rare: int) -> DataFrame:
+    """(doc, early), each pair once, from (doc, run): rare runs pair all their documents, others each with the first."""
+    shared = held.groupBy("run").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Written first, so that a run with any share of the rows meets one row in a join that Spark can split.
+    shared = materialize(shared, "shared")
+    common = held.join(shared.filter(F.col("n") > rare), "run").filter("doc <> first").select("doc", F.col("first").alias("early"))
+    few = held.join(shared.filter(F.col("n") <= rare).select("run"), "run")
+    few = few.groupBy("run").agg(F.sort_array(F.collect_list("doc")).alias("all"))
+    earlier = F.transform("all", lambda d, i: F.transform(F.slice("all", F.lit(1), i), lambda e: F.struct(d.alias("doc"), e.alias("early"))))
+    few = few.select(F.explode(F.flatten(earlier)).alias("p")).select("p.doc", "p.early")
+    return common.union(few).distinct()
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """All rows and columns of ``docs`` and ``_removed``: positions (from 0) of the lines to delete, or null.
 
     Lines are the parts between newlines, compared without white space at their ends. Documents are ordered by
     ``doc_id``, then by a hash of the text; those with a null ``doc_id`` come last. Rows equal in both are one document
-    and treated alike. A null or empty text has no line to delete; an empty table gives an empty table.
+    and treated alike. A null or empty text has no line to delete; an empty table gives an empty table. A column
+    ``_removed`` of ``docs`` is replaced; all others stay.
     """
+    docs = docs.drop("_removed")
     ident, body = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     parts = F.split(body, "\n", -1)
     hashed = F.transform(parts, lambda x: F.xxhash64(F.btrim(x, F.lit(SPACES))))
     counts = F.transform(parts, lambda x: F.regexp_count(x, F.lit(WORD)))
     rows = docs.select(_key(ident, body).alias("doc"), hashed.alias("lines"), counts.alias("words"))
     rows = materialize(rows.filter(F.aggregate("words", F.lit(0), lambda a, x: a + x) >= least), "lines")
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    whole = rows.select("doc", F.struct(F.xxhash64("lines"), F.xxhash64(F.lit(1), F.col("lines"))).alias("same"), F.size("lines").alias("n"))
+    heads = whole.groupBy("same").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("head <> last")
+    copies = whole.join(materialize(heads.drop("last"), "heads"), "same").filter("doc <> head").select("doc", "n")
+    copies = materialize(copies.distinct(), "copies")
 
-    each = rows.select("doc", F.explode(F.arrays_zip("lines", "words")).alias("x")).filter("x.words > 0").select("doc", F.col("x.lines").alias("line"))
-    first = each.groupBy("line").agg(F.min("doc").alias("early"), F.max("doc").alias("last")).filter("early <> last")
-    # Written first, so that a line with any share of the rows meets one row in a join that Spark can split.
-    first = materialize(first.select("line", "early"), "first")
-    pairs = each.join(first, "line").filter("doc <> early").select("doc", "early").distinct()
+    def all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [runs(x, w, least) for x, w in zip(batch["lines"], batch["words"])]
+            yield batch[["doc"]].assign(found=found)
+
+    # Repeated rows are one document; one of its rows is aligned.
+    late = materialize(rows.join(copies, "doc", "left_anti").dropDuplicates(["doc"]), "distinct-lines")
+    held = late.mapInPandas(all_runs, f"doc {kind}, found array<bigint>").select("doc", F.explode("found").alias("run"))
+    pairs = materialize(_pairs(materialize(held, "runs"), rare), "pairs")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gone = [repeated_lines(a.tolist(), b.tolist(), w.tolist(), least) for a, b, w in zip(batch["before"], batch["lines"], batch["words"])]
             yield batch[["doc"]].assign(gone=gone)[[bool(g) for g in gone]]
 
-    # Repeated rows are one document; one of its rows is aligned.
-    late = rows.dropDuplicates(["doc"])
-    early = late.select(F.col("doc").alias("early"), F.col("lines").alias("before"))
-    met = pairs.join(late, "doc").join(early, "early").select("doc", "lines", "words", "before")
-    kind = rows.schema["doc"].dataType.simpleString()
+    # An early document with many pairs has its lines sent once for each lot of them.
+    lots = pairs.groupBy("early").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    crowded = materialize(lots.filter("lots > 1"), "crowded")
+    lots = F.coalesce("lots", F.lit(1))
+    dealt = beside(pairs, crowded, ["early"]).withColumn("lot", F.pmod(F.xxhash64("doc"), lots).cast("int")).drop("lots")
+    early = beside(late.select(F.col("doc").alias("early"), F.col("lines").alias("before")), crowded, ["early"])
+    early = early.withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("lots")
+    met = dealt.join(early, ["early", "lot"]).join(late, "doc").select("doc", "lines", "words", "before")
     found = met.mapInPandas(align, f"doc {kind}, gone array<int>")
     gone = found.select("doc", F.explode("gone").alias("at")).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("_removed"))
-    gone = materialize(gone, "removed").withColumnRenamed("doc", "_gone_doc")
-    return docs.withColumn("_doc", _key(ident, body)).join(gone, F.col("_doc") == F.col("_gone_doc"), "left").drop("_doc", "_gone_doc")
+    gone = gone.union(copies.select("doc", F.sequence(F.lit(0), F.col("n") - 1)))
+    key, gone_key = fresh(docs, "_doc"), fresh(docs, "_gone_doc")
+    gone = materialize(gone, "removed").withColumnRenamed("doc", gone_key)
+    return docs.withColumn(key, _key(ident, body)).join(gone, F.col(key) == F.col(gone_key), "left").drop(key, gone_key)
 
 
 def without_lines(text: Column, removed: Column) -> Column:
