@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -39,6 +39,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these ``names`` (whatever the case) renamed to free ones, and the renaming that undoes it."""
+    wanted, back = {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            free = fresh(df, f"_own_{c}")
+            df, back[free] = df.withColumnRenamed(c, free), c
+    return df, back
+
+
 def prefix_sums(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same ``keys`` before this one.
 

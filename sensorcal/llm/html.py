@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from zlib import crc32
 
 import pandas as pd
@@ -159,7 +159,7 @@ def parse(page: str | None) -> Node:
 
 
 def _weight(node: Node) -> int:
-    return len(node.text) + sum(map(_weight, node.kids))
+    return len(node.text) + sum(len(n.text) for n in _below(node))
 
 
 def _article(root: Node) -> Node:
@@ -180,18 +180,29 @@ def _article(root: Node) -> Node:
 
 
 def _below(node: Node) -> list[Node]:
-    out = []
-    for k in node.kids:
-        out.append(k)
-        out += _below(k)
+    """All nodes below in page order; trees may be as deep as the page nests them, so nothing here recurses."""
+    out, todo = [], node.kids[::-1]
+    while todo:
+        out.append(todo.pop())
+        todo += reversed(out[-1].kids)
     return out
 
 
 def skeleton(root: Node) -> str:
     """The tree as ``tag(children)`` with a checksum in place of each text."""
-    if root.tag == "#":
-        return f"#{crc32(root.text.encode('utf-8', 'surrogatepass')):08x}"
-    return f"{root.tag}({','.join(map(skeleton, root.kids))})"
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.tag == "#":
+            out.append(f"#{crc32(node.text.encode('utf-8', 'surrogatepass')):08x}")
+        else:
+            out.append(f"{node.tag}(")
+            todo.append(")")
+            for k, kid in enumerate(reversed(node.kids)):
+                todo += [",", kid] if k else [kid]
+    return "".join(out)
 
 
 def from_skeleton(text: str) -> Node:
@@ -210,7 +221,20 @@ def from_skeleton(text: str) -> Node:
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most pairs of nodes of equal tag, roots with roots, children in order; equal texts count double.
+    """Simple tree matching: the most pairs of nodes of equal tag, roots with roots, children in order; equal texts count double."""
+    todo, answer = [_matching(a, b)], None
+    while todo:
+        try:
+            todo.append(_matching(*todo[-1].send(answer)))
+            answer = None
+        except StopIteration as done:
+            todo.pop()
+            answer = done.value
+    return answer
+
+
+def _matching(a: Node, b: Node) -> Generator[tuple[Node, Node], tuple[int, list[tuple[Node, Node]]], tuple[int, list[tuple[Node, Node]]]]:
+    """One level of ``match``: yields pairs of children and is sent their matches.
 
     Equal children at either end of two lists are paired at once; the rest by dynamic programming.
     """
@@ -248,7 +272,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
                 elif len(p.kids) == 1 == len(q.kids) and p.kids[0].tag == "#" == q.kids[0].tag:
                     w = 3 if p.kids[0].text == q.kids[0].text else 2
                 else:
-                    inner[i, j] = match(p, q)
+                    inner[i, j] = yield p, q
                     w = inner[i, j][0]
                 if above[j] + w > best:
                     best = above[j] + w
@@ -264,7 +288,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += (inner[i, j] if (i, j) in inner else match(x[i], y[j]))[1]
+            pairs += (inner[i, j] if (i, j) in inner else (yield x[i], y[j]))[1]
     return score, pairs
 
 

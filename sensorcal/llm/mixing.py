@@ -12,8 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.lookup import beside
 from ..runtime import materialize
-from .common import prefix_sums
+from .common import fresh, prefix_sums
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -21,6 +22,8 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Documents that are sorted together, about.
 PART_ROWS = 4096
+#: Steps a doubling in the sketch of a source's keys.
+BINS = 64
 
 
 def sampling_key(doc_id: Column, text: Column, quality: Column, seed: str = SEED) -> Column:
@@ -65,23 +68,32 @@ def mix(docs: DataFrame, size: Column, source: Column, key: Column, weights: Seq
 
     A document of the fractional part is taken if at least half of it lies within the source's budget. Repeated rows
     have equal keys and are taken alike. A null source is a source of its own; rows of size 0 take nothing from a
-    budget and come as often as the whole source does. An empty table gives an empty table.
+    budget and come as often as the whole source does. Columns of ``docs`` with the name of one of the four are replaced;
+    all others stay. An empty table gives an empty table.
     """
-    full = docs.withColumns({"_size": size.cast("long"), "_source": source, "_key": key})
-    keyed = materialize(full.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")), "keys")
-    sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("key").alias("mean_key"))
-    plan = materialize(targets(sizes, weights, share_percent, cap), "targets")
-    # Parts follow the key: exponential keys spread evenly over 1 - exp(-key / mean).
-    slot = F.floor((F.lit(1.0) - F.exp(-F.col("key") / F.col("mean_key"))) * F.ceil(F.col("rows") / PART_ROWS)).cast("long")
-    dealt = keyed.join(plan.select(F.col("source").alias("_s"), "mean_key", "rows"), F.col("source").eqNullSafe(F.col("_s")))
-    dealt = materialize(dealt.select("source", "size", "key", slot.alias("part")), "parts")
+    _size, _source, _key = (fresh(docs, f"_mix_{c}") for c in ("size", "source", "key"))
+    full = docs.withColumns({_size: size.cast("long"), _source: source, _key: key}).drop("_size", "_source_size", "_target", "_copies")
+    scale = F.log2(F.greatest(F.col("key"), F.lit(1e-300))) * BINS
+    keyed = full.select(F.col(_source).alias("source"), F.col(_size).alias("size"), F.col(_key).alias("key"))
+    keyed = materialize(keyed.withColumn("bin", F.floor(scale)), "keys")
+    bins = materialize(keyed.groupBy("source", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "bins")
+    plan = materialize(targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, cap), "targets")
+    # Parts follow the place of the key in its source's sketch, so they are even whatever the weights are.
+    below = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sketch = bins.select("source", "bin", "rows", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("below"))
+    place = F.floor((F.col("below") + (scale - F.col("bin")) * F.col("rows")) / PART_ROWS).cast("long")
+    dealt = beside(keyed, sketch, ["source", "bin"])
+    dealt = materialize(dealt.select("source", "size", "key", place.alias("part")), "parts")
     summed = prefix_sums(dealt, ["source"], "part", [F.col("key")], "size", "before")
     open_ = plan.filter("rest > 0").select(F.col("source").alias("_s"), "rest")
     inside = summed.join(open_, F.col("source").eqNullSafe(F.col("_s"))).filter("before + size / 2.0 <= rest")
-    limits = inside.groupBy("source").agg(F.max("key").alias("_limit")).withColumnRenamed("source", "_l")
-    p = plan.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "epochs")
-    p = materialize(p.join(limits, F.col("_s").eqNullSafe(F.col("_l")), "left").drop("_l"), "limits")
+    limits = inside.groupBy("source").agg(F.max("key").alias("limit")).withColumnRenamed("source", "_l")
+    mine = {c: fresh(full, f"_mix_{c}") for c in ("of", "limit", "epochs")}
+    p = plan.join(limits, F.col("source").eqNullSafe(F.col("_l")), "left").select(
+        F.col("source").alias(mine["of"]), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("epochs").alias(mine["epochs"]), F.col("limit").alias(mine["limit"])
+    )
     # Written before it is joined: Spark sees its size and broadcasts it only if small.
-    out = full.join(p, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    chosen = F.coalesce(F.col("_key") <= F.col("_limit"), F.lit(False)).cast("int")
-    return out.withColumn("_copies", F.col("epochs") + chosen).drop("_source", "_key", "_limit", "_s", "epochs")
+    p = materialize(p, "limits")
+    out = full.withColumn("_size", F.col(_size)).join(p, F.col(_source).eqNullSafe(F.col(mine["of"])), "left")
+    chosen = F.coalesce(F.col(_key) <= F.col(mine["limit"]), F.lit(False)).cast("int")
+    return out.withColumn("_copies", F.col(mine["epochs"]) + chosen).drop(_size, _source, _key, *mine.values())

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import materialize
-from .common import SPACES, fresh, let, words
+from .common import SPACES, aside, fresh, let, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -78,17 +78,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     of_words = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_window_words(w).alias("rep")))
     symbols = "#*$%&|<>"
-    out = docs.withColumns({"_lines": counted, "_words": of_words}).withColumns(
+    of, by = fresh(docs, "_words"), fresh(docs, "_lines")
+    out = docs.withColumns({by: counted, of: of_words}).withColumns(
         {
-            "n_words": F.col("_words")["n"],
+            "n_words": F.col(of)["n"],
             "word_chars": F.length(bare(t)).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long"),
-            "n_dup_lines": F.col("_lines")["dup"],
-            "n_repeat_words": F.col("_words")["rep"],
-            "n_lines": F.col("_lines")["n"],
+            "n_dup_lines": F.col(by)["dup"],
+            "n_repeat_words": F.col(of)["rep"],
+            "n_lines": F.col(by)["n"],
         }
     )
-    return out.drop("_lines", "_words")
+    return out.drop(by, of)
 
 
 def value(s: Signal) -> Column:
@@ -172,9 +173,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     Measures are appended under names that ``docs`` does not have, so no column is lost.
     """
-    taken = {c.lower() for c in docs.columns}
-    clash = {c: f"_own_{c}" for c in (*MEASURES, "n_lines", "base_failed", "kept") if c.lower() in taken}
-    aside = docs.withColumnsRenamed({c: clash[c.lower()] for c in docs.columns if c.lower() in clash})
-    back = {v: next(c for c in docs.columns if c.lower() == k) for k, v in clash.items()}
-    out = quality_verdicts(aside, keep_text=True).filter("kept").drop(*MEASURES, "n_lines", "base_failed", "kept")
+    added = (*MEASURES, "n_lines", "base_failed", "kept")
+    free, back = aside(docs, added)
+    out = quality_verdicts(free, keep_text=True).filter("kept").drop(*added)
     return out.withColumnsRenamed(back).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from ..urls import DAMPING, DISTRUST_RATIO, ROUNDS, RULES, url_verdicts
+from ..urls import DAMPING, DISTRUST_RATIO, ROUNDS, RULES, SAME, url_verdicts
 from .base import query
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,8 +35,8 @@ e AS (SELECT * FROM linked UNION ALL SELECT * FROM up UNION ALL SELECT dst, src,
 w AS (SELECT 'trust' AS kind, src, dst, weight FROM e UNION ALL SELECT 'distrust', dst, src, weight FROM e),
 ways AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM w),
 {", ".join(rounds)},
-s AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (kind = 'distrust'), 0), 9) AS distrust FROM r{ROUNDS} GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {DISTRUST_RATIO}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+s AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {DISTRUST_RATIO * (1 + SAME)}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN s ON j.host = s.host"""
 
 

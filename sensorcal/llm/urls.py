@@ -8,6 +8,7 @@ shares their domain, is distrusted. A host is blocked if its distrust outweighs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,11 +24,15 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds go on until at most this share of all trust (and distrust) could still move; each round leaves ``DAMPING`` of it.
+RESIDUAL = 0.01
+ROUNDS = math.ceil(math.log(RESIDUAL) / math.log(DAMPING))
 #: A host is blocked if its distrust is above this multiple of its trust.
 DISTRUST_RATIO = 1.0
+#: Scores that differ by less than this part of themselves are equal: sums of the same numbers in another order.
+SAME = 1e-9
 #: Rounds between two written tables.
-WRITE_EVERY = 4
+WRITE_EVERY = 6
 
 
 def after_scheme(url: Column) -> Column:
@@ -58,7 +63,8 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     links = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""), F.lit(1))
     absolute = F.transform(links, lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)))
     linked = pages.select(F.col("host").alias("src"), F.explode(absolute).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")
-    linked = linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    # Written first: the pages are read once, though the hosts of the links are needed too.
+    linked = materialize(linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "links")
     known = pages.select("host").union(linked.select("dst")).distinct().filter("host <> ''")
     up = known.filter(F.size(F.split("host", r"\.")) > 2).select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("dst"), F.lit(1.0).alias("weight"))
     both = up.distinct()
@@ -104,11 +110,11 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     ways = ways.join(out, (F.col("ekind") == F.col("k")) & (F.col("src") == F.col("s")))
     ways = materialize(ways.select("ekind", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
 
-    score = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), 9).alias(kind)
+    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     hosts = propagate(ways, seeds).groupBy(F.col("host").alias("_host")).agg(score("trust"), score("distrust"))
     # Written first: Spark sees its size, and moves the pages only if it is large.
     hosts = materialize(hosts, "hosts")
     met = judged.join(hosts, judged.host == hosts._host, "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
-    spread = F.when(distrust > trust * DISTRUST_RATIO, "block").otherwise("allow")
+    spread = F.when(distrust > trust * (DISTRUST_RATIO * (1 + SAME)), "block").otherwise("allow")
     return met.select("page_id", "host", "path", "rule", F.coalesce("by_rule", spread).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

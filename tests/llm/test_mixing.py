@@ -50,10 +50,28 @@ def test_quality_weighs(docs):
     assert share(1) > share(0) + 0.2
 
 
+def test_parts_are_even_where_weights_differ(spark, monkeypatch):
+    from sensorcal.llm import mixing
+
+    seen = {}
+    keep = mixing.prefix_sums
+
+    def spy(df, *more):
+        seen["largest"] = df.groupBy("source", "part").count().agg(F.max("count")).first()[0]
+        return keep(df, *more)
+
+    monkeypatch.setattr(mixing, "prefix_sums", spy)
+    rows = spark.range(200_000).withColumns({"source": F.lit("a"), "text": F.lit("x"), "quality": F.when(F.col("id") % 10 == 0, 0.05).otherwise(1.0)})
+    key = sampling_key(F.col("id"), F.col("text"), F.col("quality"))
+    taken = mix(rows.union(rows.withColumn("source", F.lit("b"))), F.lit(1), F.col("source"), key, weights=(1, 1)).filter("source = 'a'").agg(F.sum("_copies")).first()[0]
+    assert seen["largest"] < 2 * mixing.PART_ROWS and abs(taken - 300_000) <= 1
+
+
 def test_odd_rows(odd, docs):
-    clash = odd.withColumns({"size": F.lit(1), "key": F.lit(2), "target": F.lit(3), "part": F.lit(4), "epochs_": F.lit(5)})
+    clash = odd.withColumns({"size": F.lit(1), "key": F.lit(2), "target": F.lit(3), "part": F.lit(4), "epochs": F.lit(5), "_key": F.lit(6), "_source": F.lit(7), "_s": F.lit(8), "_limit": F.lit(9), "_mix_key": F.lit(10)})
     rows = mixed(clash).collect()
     assert len(rows) == 10 and all(0 <= r._copies <= 2 for r in rows)
+    assert {(r.epochs, r._key, r._source, r._s, r._limit, r._mix_key) for r in rows} == {(5, 6, 7, 8, 9, 10)}
     four = [r._copies for r in rows if r.doc_id == 4]
     assert four[0] == four[1]
     assert mixed(docs([])).count() == 0

@@ -36,11 +36,11 @@ def test_junk_is_rejected_and_prose_kept(docs):
 
 
 def test_odd_rows(odd, docs):
-    clash = odd.withColumns({"n_words": F.lit(-1), "kept": F.lit("x"), "signal": F.lit(0), "q1": F.lit(0)})
+    clash = odd.withColumns({"n_words": F.lit(-1), "kept": F.lit("x"), "signal": F.lit(0), "q1": F.lit(0), "_lines": F.lit(1), "_words": F.lit(2), "_own_kept": F.lit(3)})
     out = quality_filter(clash)
     assert out.columns == clash.columns
     kept = out.collect()
     # The very long text repeats itself after 9,973 words, so the base rules reject it.
-    assert sorted(r.doc_id or 0 for r in kept) == [0, 4, 4, 5] and {r.n_words for r in kept} == {-1}
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 4, 4, 5] and {(r.n_words, r.kept, r._lines, r._words, r._own_kept) for r in kept} == {(-1, "x", 1, 2, 3)}
     assert quality_verdicts(odd).filter("base_failed").count() == 6
     assert quality_filter(docs([])).count() == 0

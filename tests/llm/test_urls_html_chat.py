@@ -1,11 +1,13 @@
 import hashlib
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from llm_cases import prose
 from sensorcal.llm import html as H
 from sensorcal.llm.chat import CONTROL, assemble, escape, read_back, unescape
-from sensorcal.llm.urls import url_verdicts
+from sensorcal.llm.urls import RESIDUAL, url_verdicts
 
 
 def pages(spark, rows):
@@ -38,6 +40,29 @@ def test_trust_and_distrust_spread(spark):
     assert url_verdicts(pages(spark, [])).count() == 0
 
 
+def test_scores_against_brute_force(spark):
+    """Trust and distrust over links, held against the same sums by hand until the stated residual."""
+    rng = random.Random(9)
+    hosts = [f"h{i}.{'com' if i < 4 else 'net' if i < 8 else 'org'}" for i in range(30)]
+    rows, links = [], Counter()
+    for i, h in enumerate(hosts):
+        to = rng.choices(hosts, k=rng.randrange(4))
+        links.update((h, t) for t in to if t != h)
+        rows.append((i, f"http://{h}/{'fr' if 4 <= i < 8 else 'x'}/", " ".join(f'<a href="https://{t}/p">' for t in to)))
+    got = {r.page_id: r for r in url_verdicts(pages(spark, rows)).collect()}
+    for kind, seeds, edges in (("trust", hosts[:4], links), ("distrust", hosts[4:8], Counter({(b, a): n for (a, b), n in links.items()}))):
+        start = {h: 1 / len(seeds) if h in seeds else 0.0 for h in hosts}
+        out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
+        rank = dict(start)
+        for _ in range(200):
+            moved = {h: 0.15 * start[h] + (0.85 * rank[h] if not out[h] else 0) for h in hosts}
+            for (a, b), n in edges.items():
+                moved[b] += 0.85 * rank[a] * n / out[a]
+            rank = moved
+        assert sum(abs(getattr(got[i], kind) - rank[h]) for i, h in enumerate(hosts)) <= 2 * RESIDUAL
+    assert len({got[i].verdict for i in range(8, 30)}) == 2
+
+
 ARTICLE = "<article><h1>{t}</h1><p>{p}</p><div>Read &amp; share</div><p>{q}<br>tail</p></article>"
 
 
@@ -63,6 +88,41 @@ def test_tree_matching():
     assert H.match(tree("<p>x"), tree("<ul><li>x</ul>"))[0] == 1
 
 
+def _most_pairs(a, b):
+    """The score of a best matching, by trying all."""
+    if a.tag != b.tag:
+        return 0
+
+    def rows(x, y):
+        if not x or not y:
+            return 0
+        w = _most_pairs(x[0], y[0])
+        return max(rows(x[1:], y), rows(x, y[1:]), w + rows(x[1:], y[1:]) if w else 0)
+
+    return (2 if a.tag == "#" and a.text == b.text else 1) + rows(a.kids, b.kids)
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(4)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice("xyz") + "<br>"
+        return f"<{(t := rng.choice(['div', 'ul']))}>" + "".join(some(depth - 1) for _ in range(rng.randrange(4))) + f"</{t}>"
+
+    for _ in range(150):
+        a, b = (H.from_skeleton(H.skeleton(H.parse(some(3) + some(2)))) for _ in "ab")
+        score, pairs = H.match(a, b)
+        assert score == _most_pairs(a, b) == sum(2 if p.tag == "#" and p.text == q.text else 1 for p, q in pairs)
+        assert all(p.tag == q.tag for p, q in pairs)
+
+
+def test_deeply_nested_page(spark):
+    deep = "<div>" * 5000 + "inside" + "</div>" * 5000
+    got = H.extract(pages(spark, [(i, "http://deep.org/", deep + f"<p>{i}</p>") for i in range(3)])).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"inside\n\n{i}" for i in range(3)}
+
+
 def test_constant_slots_are_template(spark):
     rows = [(i, "http://host.org/a", ARTICLE.format(t=prose(i, 3), p=prose(i + 50, 9), q=prose(i + 90, 9))) for i in range(40)]
     rows += [(100, "http://few.org/a", ARTICLE.format(t="t", p="p", q="q")), (101, None, None), (102, None, ""), (103, "http://host.org/", "<p>other</p>"), (103, "http://host.org/", "<p>other</p>")]
