@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorcal.llm.common import WORD, table
+from sensorcal.llm.common import WORD, aside, table
 from sensorcal.llm.jaccard import one_of_each
 from sensorcal.llm.lines import line_dedup, without_lines
 from sensorcal.llm.mixing import letter_quality, mix, sampling_key
@@ -25,9 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; so does a document of which no word is left."""
     gone = F.col("_removed")
-    out = line_dedup(docs).withColumn("text", without_lines(F.col("text"), gone))
+    free, back = aside(docs, ["_removed"])
+    out = line_dedup(free).withColumn("text", without_lines(F.col("text"), gone))
     out = out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.filter(gone.isNull() | F.col("text").rlike(WORD)).select(*docs.columns)
+    return out.filter(gone.isNull() | F.col("text").rlike(WORD)).select(*free.columns).withColumnsRenamed(back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A document comes as often as the mix takes it."""
     text = F.coalesce("text", F.lit(""))
     key = sampling_key(F.col("doc_id"), text, letter_quality(text))
-    mixed = mix(docs, F.regexp_count(text, F.lit(WORD)), F.col("source"), key).filter("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    free, back = aside(docs, ["_size", "_source_size", "_target", "_copies", "_copy"])
+    mixed = mix(free, F.regexp_count(text, F.lit(WORD)), F.col("source"), key).filter("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*free.columns).withColumnsRenamed(back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
