@@ -237,6 +237,8 @@ def permutation_importance(
     own = F.col("_own") if additive else F.array(*map(q, feats))
     repeated = numbered.select("_i", own.alias("_moved"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("_r"))
     moved = permuted(repeated.withColumn("_key", F.col("_r") + 1000 * seed), "_i", "_key", n, "_to").select(F.col("_to").alias("_i"), "_r", "_moved")
+    # Spark takes an exploded table for no larger than its source and might send all repeats to every task.
+    moved = moved.hint("merge")
     names = F.array(*[F.lit(c) for c in feats])
     if additive:
         met = numbered.select("_i", "_rest", "_own").join(moved, "_i")
