@@ -40,11 +40,12 @@ def _destinations(sites: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     """Per site: its neighbours in order of rank, and the cells that need its rows."""
     cells = site_cells(sites, size)
     from_i = cells.select(F.col(SITE).alias("site_i"), "cell")
-    needed = edges.join(from_i, "site_i").select(F.col("site_j").alias(SITE), "cell").unionByName(cells)
+    # Merge joins by hint: Spark takes compressed files for far smaller than their rows and would broadcast them.
+    needed = edges.join(from_i.hint("merge"), "site_i").select(F.col("site_j").alias(SITE), "cell").unionByName(cells)
     near = edges.groupBy(F.col("site_i").alias(SITE)).agg(F.array_sort(F.collect_list(F.struct("rank", "site_j"))).alias("_n"))
     near = near.select(SITE, F.transform("_n", lambda n: n["site_j"]).alias("_near"))
     own = cells.withColumnRenamed("cell", "_own")
-    return needed.groupBy(SITE).agg(F.collect_set("cell").alias("_cells")).join(own, SITE).join(near, SITE, "left")
+    return needed.groupBy(SITE).agg(F.collect_set("cell").alias("_cells")).join(own.hint("merge"), SITE).join(near.hint("merge"), SITE, "left")
 
 
 def _mean(values: np.ndarray, use: np.ndarray) -> np.ndarray:

@@ -59,13 +59,17 @@ def beside(
     heavy = counts.where(F.col("_rows") * parts > total).drop("_rows")
     names = [f"_beside_k{i}" for i in range(len(keys))]
     known = heavy.select(*[F.col(n).alias(f"_h{n}") for n in names])
-    found = own.join(F.broadcast(known), reduce(Column.__and__, [own[n].eqNullSafe(known[f"_h{n}"]) for n in names]), "right")
-    found = materialize(found.select(*[f"_h{n}" for n in names], F.col("_beside_values").alias("_beside_heavy"), F.lit(True).alias("_beside_is_heavy")), "heavy-params")
+    # An outer join can send its optional side only, so the heavy keys are met first, then those without parameters added.
+    met = own.join(F.broadcast(known), reduce(Column.__and__, [own[n].eqNullSafe(known[f"_h{n}"]) for n in names]))
+    met = met.select(*[F.col(f"_h{n}").alias(f"_m{n}") for n in names], F.col("_beside_values").alias("_beside_heavy"))
+    found = known.join(F.broadcast(met), reduce(Column.__and__, [F.col(f"_h{n}").eqNullSafe(F.col(f"_m{n}")) for n in names]), "left")
+    found = materialize(found.select(*[f"_h{n}" for n in names], "_beside_heavy", F.lit(True).alias("_beside_is_heavy")), "heavy-params")
     placed = rows.join(F.broadcast(found), _same(rows, found, [(k, f"_h{n}") for k, n in zip(keys, names)]), "left").drop(*[f"_h{n}" for n in names])
     placed = placed.withColumn("_beside_place", F.when(F.col("_beside_is_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)) + 1).otherwise(F.lit(0)))
     salted = own.withColumn("_beside_at", F.lit(0).cast("long"))
     same = _same(placed, salted, named) & placed["_beside_place"].eqNullSafe(salted["_beside_at"])
-    joined = placed.join(salted.withColumn("_beside_met", F.lit(True)), same, "left")
+    # By hint: Spark takes a compressed file for far smaller than its rows and would send it whole after all.
+    joined = placed.join(salted.withColumn("_beside_met", F.lit(True)).hint("merge"), same, "left")
     joined = joined.withColumn("_beside_values", F.coalesce("_beside_heavy", "_beside_values"))
     if how == "inner":
         joined = joined.where(F.col("_beside_met") | F.col("_beside_heavy").isNotNull())

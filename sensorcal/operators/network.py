@@ -74,7 +74,8 @@ def candidate_cubes(points: DataFrame, k: int) -> DataFrame:
     crowded = counts.where((F.col("_n") > k) | (F.col("level") == 0)).select(*AT)
     place = ["lat", "lon", "x", "y", "z"]
     # Cube diagonal is sqrt(3) edges < one edge of the next larger level.
-    search = cubes.join(crowded, AT).groupBy(*place).agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
+    # Merge joins by hint: Spark takes exploded or compressed tables for far smaller than they are and would broadcast them.
+    search = cubes.hint("merge").join(crowded, AT).groupBy(*place).agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
     step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     cell = [_cell_index(a, F.col("level")).alias(f"c{a}") for a in "xyz"]
     around = search.select("*", *cell)
@@ -141,7 +142,7 @@ def knn_sites(sites: DataFrame, k: int = 6) -> DataFrame:
     best = Window.partitionBy("lat_i", "lon_i").orderBy("dist_km", "site_j")
     # One more than k, because a site finds itself among the members of its own place.
     near = (
-        wanted.join(other, AT)
+        wanted.hint("merge").join(other, AT)
         .select("lat_i", "lon_i", "site_j", dist.alias("dist_km"))
         .withColumn("_r", F.row_number().over(best))
         .where(F.col("_r") <= k + 1)
@@ -150,7 +151,7 @@ def knn_sites(sites: DataFrame, k: int = 6) -> DataFrame:
     per_site = Window.partitionBy("site_i").orderBy("dist_km", "site_j")
     return (
         sites.select(F.col(SITE).alias("site_i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"))
-        .join(near, ["lat_i", "lon_i"])
+        .join(near.hint("merge"), ["lat_i", "lon_i"])
         .where(F.col("site_i") != F.col("site_j"))
         .withColumn("rank", F.row_number().over(per_site))
         .where(F.col("rank") <= k)
@@ -165,7 +166,7 @@ def site_distances(pairs: DataFrame, sites: DataFrame) -> DataFrame:
         for s in "ij"
     )
     dist = haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))
-    return pairs.join(a, "site_i").join(b, "site_j").select("site_i", "site_j", dist.alias("dist_km"))
+    return pairs.join(a.hint("merge"), "site_i").join(b.hint("merge"), "site_j").select("site_i", "site_j", dist.alias("dist_km"))
 
 
 def spatial_deviation(
@@ -175,12 +176,12 @@ def spatial_deviation(
     keys = list(keys)
     ref = (
         edges.select("site_i", F.col("site_j").alias(SITE))
-        .join(series.select(*keys, SITE, "dt", x), SITE)
+        .join(series.select(*keys, SITE, "dt", x).hint("merge"), SITE)
         .groupBy(*keys, "site_i", "dt")
         .agg(F.avg(x).alias("ref"))
         .withColumnRenamed("site_i", SITE)
     )
-    return series.join(ref, [*keys, SITE, "dt"], "left").withColumn(
+    return series.join(ref.hint("merge"), [*keys, SITE, "dt"], "left").withColumn(
         "e", relative_deviation(F.col(x), F.col("ref"), eps)
     )
 
@@ -221,8 +222,8 @@ def weather_neighbours(
     nearest = Window.partitionBy("site_i", "dt").orderBy("gap", "rank")
     return (
         edges.select("site_i", "site_j", "rank")
-        .join(at_i, "site_i")
-        .join(at_j, ["site_j", "dt"])
+        .join(at_i.hint("merge"), "site_i")
+        .join(at_j.hint("merge"), ["site_j", "dt"])
         .select("site_i", "dt", "site_j", "rank", gap.alias("gap"))
         .withColumn("_pick", F.row_number().over(nearest))
         .where(F.col("_pick") <= k_meteo)
@@ -237,13 +238,13 @@ def mci(
     keys = list(keys)
     ref = (
         similar.withColumnRenamed("site_j", SITE)
-        .join(series.select(*keys, SITE, "dt", x), [SITE, "dt"])
+        .join(series.select(*keys, SITE, "dt", x).hint("merge"), [SITE, "dt"])
         .groupBy(*keys, "site_i", "dt")
         .agg(F.avg(x).alias("ref"))
         .withColumnRenamed("site_i", SITE)
     )
     e = relative_deviation(F.col(x), F.col("ref"), eps)
-    return series.join(ref, [*keys, SITE, "dt"], "left").groupBy(*keys, SITE).agg(F.avg(e).alias("mci"))
+    return series.join(ref.hint("merge"), [*keys, SITE, "dt"], "left").groupBy(*keys, SITE).agg(F.avg(e).alias("mci"))
 
 
 def reliability_index(
@@ -252,7 +253,7 @@ def reliability_index(
     """Scores per site: the three indicators, their [0, 1] forms per key, and ``ri`` = 1 − weighted sum."""
     on = [*keys, SITE]
     # One row per site, read twice.
-    raw = materialize(sci_t.join(tci_t, on, "left").join(mci_t, on, "left"), "indicators")
+    raw = materialize(sci_t.join(tci_t.hint("merge"), on, "left").join(mci_t.hint("merge"), on, "left"), "indicators")
     scores = minmax01(raw, ["sci", "tci", "mci"], keys)
     ri = 1 - (
         F.lit(params.alpha) * F.col("sci_n") + F.lit(params.beta) * F.col("tci_n") + F.lit(params.gamma) * F.col("mci_n")
