@@ -66,3 +66,18 @@ def test_large_parameters_are_dealt_by_key(spark, monkeypatch):
     want = {(i, k, None if k == 1 else (-1 if k is None else k) * 10) for i in range(200) for k in [0 if i < 40 else 1 if i < 80 else None if i < 120 else i]}
     assert {tuple(r) for r in out.collect()} == want
     assert lookup.beside(rows, params, ["k"], "inner").count() == 160
+
+
+def test_trees_are_trained_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(m, "TASK_ROWS", 100, raising=False)
+    rows = _rows(spark, 1000).coalesce(1)
+    for kind, est in (("GBTRegressor", m.Boosted(("a", "b"), iterations=1)), ("RandomForestRegressor", m.Forest(("a", "b"), trees=2, depth=2))):
+        seen, fit = [], getattr(m, kind).fit
+
+        def record(self, df, fit=fit, seen=seen):
+            seen.append(df.rdd.glom().map(len).collect())
+            return fit(self, df)
+
+        monkeypatch.setattr(getattr(m, kind), "fit", record)
+        assert est.fit(rows, "y").transform(rows).count() == 1000
+        assert sum(seen[0]) == 1000 and max(seen[0]) <= 200
