@@ -222,7 +222,7 @@ def _links(pairs: DataFrame, docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, rep, n, n_links, comp) for each row; ``rep`` is the text's hash, ``comp`` names the component."""
+    """(doc_id, rep, n, n_links, comp) for each row, a written table; ``rep`` is the text's hash, ``comp`` names the component."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("rep", F.xxhash64("text"))
     chunks = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -250,17 +250,20 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     big = big.join(members, "grp").select("list", "unit", "n", F.lit(0).alias("pos"))
     lists = materialize(hot.union(alike).union(big), "lists")
 
-    links = _links(direct.union(_star_pairs(lists).select("x", "y")), own, units)
-    found = materialize(components(links, "x", "y"), "labels")
-    more = _links(_rest_pairs(lists, found).select("x", "y"), own, units)
-    links = materialize(links.union(more), "links")
+    some = _links(direct.union(_star_pairs(lists).select("x", "y")), own, units)
+    first = materialize(components(some, "x", "y"), "labels")
+    more = _links(_rest_pairs(lists, first).select("x", "y"), own, units)
+    links = materialize(some.union(more), "links")
     found = materialize(components(links, "x", "y"), "labels")
 
     degree = links.select(F.col("x").alias("u")).union(links.select("y")).groupBy("u").agg(F.count("*").alias("n_links"))
     # Sets without a link are their own component; only linked ones have rows here.
     named = materialize(found.join(degree, found.node == degree.u, "left").select("node", "component", "n_links"), "named")
     rows = table.select("doc_id", "rep", "n", "unit").join(named, (F.col("unit") == named.node) & (F.col("n") > 0), "left")
-    return rows.select("doc_id", "rep", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "unit").alias("comp"))
+    rows = rows.select("doc_id", "rep", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "unit").alias("comp"))
+    rows = materialize(rows, "resolved")
+    release(table, units, met, lists, some, first, more, links, found, named)
+    return rows
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +277,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows are equal sets and share a component. A null ``doc_id`` stays null and is ignored when the smallest is sought (a
     component without any id has a null ``component_id``). An empty table gives an empty table.
     """
-    rows = materialize(_resolved(docs, doc_id, text), "resolved")
+    rows = _resolved(docs, doc_id, text)
     least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1")
     least = materialize(least.select(F.col("comp").alias("c"), "least"), "least")
     out = rows.join(least, (F.col("comp") == F.col("c")) & (F.col("n") > 0), "left")
@@ -291,7 +294,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without a word are linked with nothing and all stay.
     """
-    rows = materialize(_resolved(docs, doc_id, text).filter("n > 0"), "resolved")
+    rows = _resolved(docs, doc_id, text).filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep")).alias("k")
     keep = rows.groupBy("comp").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.rep").alias("k_rep"))
     keep = materialize(keep, "keep")

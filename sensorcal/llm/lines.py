@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.lookup import beside
-from ..runtime import materialize
-from .common import SPACES, WORD, fresh
+from ..runtime import materialize, release
+from .common import SPACES, WORD, fresh, may_meet
 
 #: Aligned blocks with fewer words stay: short lines agree by chance.
 MIN_BLOCK_WORDS = 10
@@ -119,7 +119,7 @@ def runs(lines: Sequence[int], words: Sequence[int], least: int = MIN_BLOCK_WORD
 
 
 def _pairs(held: DataFrame, rare: int) -> DataFrame:
-    """(doc, early), each pair once, from (doc, run): rare runs pair all their documents, others each with the first."""
+    """(doc, early), each pair once, a written table, from (doc, run): rare runs pair all their documents, others each with the first."""
     shared = held.groupBy("run").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Written first, so that a run with any share of the rows meets one row in a join that Spark can split.
     shared = materialize(shared, "shared")
@@ -128,7 +128,9 @@ def _pairs(held: DataFrame, rare: int) -> DataFrame:
     few = few.groupBy("run").agg(F.sort_array(F.collect_list("doc")).alias("all"))
     earlier = F.transform("all", lambda d, i: F.transform(F.slice("all", F.lit(1), i), lambda e: F.struct(d.alias("doc"), e.alias("early"))))
     few = few.select(F.explode(F.flatten(earlier)).alias("p")).select("p.doc", "p.early")
-    return common.union(few).distinct()
+    pairs = materialize(common.union(few).distinct(), "pairs")
+    release(shared)
+    return pairs
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BLOCK_WORDS, rare: int = RARE) -> DataFrame:
@@ -150,7 +152,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 
     whole = rows.select("doc", F.struct(F.xxhash64("lines"), F.xxhash64(F.lit(1), F.col("lines"))).alias("same"), F.size("lines").alias("n"))
     heads = whole.groupBy("same").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("head <> last")
-    copies = whole.join(materialize(heads.drop("last"), "heads"), "same").filter("doc <> head").select("doc", "n")
+    heads = materialize(heads.drop("last"), "heads")
+    copies = whole.join(heads, "same").filter("doc <> head").select("doc", "n")
     copies = materialize(copies.distinct(), "copies")
 
     def all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +164,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     # Repeated rows are one document; one of its rows is aligned.
     late = materialize(rows.join(copies, "doc", "left_anti").dropDuplicates(["doc"]), "distinct-lines")
     held = late.mapInPandas(all_runs, f"doc {kind}, found array<bigint>").select("doc", F.explode("found").alias("run"))
-    pairs = materialize(_pairs(materialize(held, "runs"), rare), "pairs")
+    held = materialize(held, "runs")
+    pairs = _pairs(held, rare)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,7 +185,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     gone = gone.union(copies.select("doc", F.sequence(F.lit(0), F.col("n") - 1)))
     key, gone_key = fresh(docs, "_doc"), fresh(docs, "_gone_doc")
     gone = materialize(gone, "removed").withColumnRenamed("doc", gone_key)
-    return docs.withColumn(key, _key(ident, body)).join(gone, F.col(key) == F.col(gone_key), "left").drop(key, gone_key)
+    release(rows, heads, copies, late, held, pairs, crowded)
+    # Most documents lose nothing, and their texts are not moved.
+    found, others = may_meet(docs.withColumn(key, _key(ident, body)), key, gone, gone_key)
+    found = found.join(gone, F.col(key) == F.col(gone_key), "left").drop(key, gone_key)
+    return found.union(others.drop(key).withColumn("_removed", F.lit(None).cast(gone.schema["_removed"].dataType)))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
