@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import materialize, release
-from .lookup import beside
+from .lookup import SMALL_ROWS, beside
 
 # Bits of the key that one pass looks at.
 DIGIT = 16
@@ -58,6 +58,11 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return reduce(Column.__and__, [a[f"`{n}`"].eqNullSafe(b[f"`_b_{n}`"]) for n in names])
 
 
+def _asked(ranks: DataFrame, buckets: int) -> DataFrame:
+    """For a join: by hint dealt by key if of many buckets, as Spark takes exploded rows of compressed files for few."""
+    return ranks if buckets <= SMALL_ROWS else ranks.hint("merge")
+
+
 def _within(histogram: DataFrame, ranks: Column, within: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The buckets that hold a wanted rank; ``ranks`` then count from the bucket's start."""
     before = Window.partitionBy(*within).orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,14 +117,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         if most <= BUCKET:
             listed = inside.groupBy(*group, "_pre").agg(F.sort_array(F.collect_list("_v")).alias("_list"))
             asked = wanted.where(~single).select(*[F.col(c).alias(f"_b_{c}") for c in (*group, "_pre")], F.explode("_ranks").alias("_r"))
-            found = listed.join(asked, _same(listed, asked, [*group, "_pre"])).select(*group, "_r.*", F.get("_list", F.col("_r.at").cast("int")).alias("_x"))
+            found = listed.join(_asked(asked, open_buckets), _same(listed, asked, [*group, "_pre"])).select(*group, "_r.*", F.get("_list", F.col("_r.at").cast("int")).alias("_x"))
             done.append(found)
             break
         values = materialize(inside.select(*group, "_v", "_key"), "values")
         shift -= DIGIT
         finer = _histogram(values, group, shift).withColumn("_up", F.shiftright("_pre", DIGIT))
         above = wanted.where(~single).select(*[F.col(c).alias(f"_b_{c}") for c in group], F.col("_pre").alias("_b__up"), F.col("_ranks").alias("_asked"))
-        finer = finer.join(above, _same(finer, above, [*group, "_up"])).drop(*above.columns[:-1])
+        finer = finer.join(_asked(above, open_buckets), _same(finer, above, [*group, "_up"])).drop(*above.columns[:-1])
         wanted = materialize(_within(finer, F.col("_asked"), [*group, "_up"], group), "ranks")
         scratch += [values, wanted]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorcal.operators import halo, lookup, model as m, network as net
+from sensorcal.operators import halo, lookup, model as m, network as net, quantiles
 
 
 def plan_of(df) -> str:
@@ -81,3 +81,18 @@ def test_trees_are_trained_in_tasks_of_bounded_size(spark, monkeypatch):
         monkeypatch.setattr(getattr(m, kind), "fit", record)
         assert est.fit(rows, "y").transform(rows).count() == 1000
         assert sum(seen[0]) == 1000 and max(seen[0]) <= 200
+
+
+def test_quantiles_of_many_groups_are_not_broadcast(spark, monkeypatch):
+    rows = spark.range(6000).select((F.col("id") % 60).alias("k"), (F.col("id") * 7 % 5999).cast("double").alias("v"))
+    before = {tuple(r) for r in quantiles.exact_medians(rows, ["v"], ["k"]).collect()}
+    for module in (lookup, quantiles):
+        monkeypatch.setattr(module, "SMALL_ROWS", 0, raising=False)
+    for bucket in (quantiles.BUCKET, 0):
+        monkeypatch.setattr(quantiles, "BUCKET", bucket)
+        with monkeypatch.context() as inner:
+            plans = written_plans(inner, quantiles)
+            assert {tuple(r) for r in quantiles.exact_medians(rows, ["v"], ["k"]).collect()} == before
+        # What is sent are the few heavy keys of the lookup, the only ones that are told by a mark.
+        sent = [line for p in (*plans["quantiles"], *plans["ranks"]) for line in p.splitlines() if "BroadcastHashJoin" in line]
+        assert all("_beside" in line or "_h_" in line for line in sent), sent
