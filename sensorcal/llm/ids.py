@@ -21,11 +21,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..runtime import materialize, release, scratch_path
 from .common import tokens_path
-from .tokens import word_ids
+from .tokens import slices, word_ids
 
 MAX_BITS = 16
 END_ID = 2
@@ -126,14 +127,22 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n, ids) from (doc_id, text): ids as unsigned 16-bit integers where they fit, else 32-bit; each document ends with id 2."""
     path = path or tokens_path()
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
-        narrow = tokens.tokenizer.get_vocab_size() <= 1 << 16
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_ids(path)
+        kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            found = [np.frombuffer(tokens.encode(t) + end, "<u4") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(a) for a in found], "ids": [(a.astype("<u2") if narrow else a).tobytes() for a in found]})
+            for a, b in slices(batch["text"]):
+                own, n = tokens.encode_all(batch["text"].slice(a, b - a))
+                ends = np.cumsum(n + 1)
+                all_ids = np.full(len(own) + len(n), END_ID, kind)
+                inside = np.ones(len(all_ids), bool)
+                inside[ends - 1] = False
+                all_ids[inside] = own
+                offsets = (np.concatenate([[0], ends]) * all_ids.itemsize).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(all_ids)])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(n + 1, pa.int64()), binary], ["doc_id", "n", "ids"])
 
-    return docs.mapInPandas(ids, "doc_id long, n long, ids binary")
+    return docs.mapInArrow(ids, "doc_id long, n long, ids binary")
 
 
 def _array(n: int, ids: bytes) -> np.ndarray:
@@ -146,18 +155,19 @@ def write_ids(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str =
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ids = materialize(tokenize(own, path), "ids")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for n, b in zip(batch["n"], batch["ids"]):
-                c = np.bincount(_array(n, b), minlength=len(total))
+            for a, b in slices(batch["ids"]):
+                n = int(np.sum(batch["n"].slice(a, b - a).to_numpy()))
+                c = np.bincount(_array(n, b"".join(batch["ids"].slice(a, b - a).to_pylist())), minlength=len(total))
                 c[: len(total)] += total
                 total = c
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "count": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "count"])
 
     # One row per id of the vocabulary reaches the driver, whatever the corpus.
-    counts = ids.select("n", "ids").mapInPandas(count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
+    counts = ids.select("n", "ids").mapInArrow(count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     table[counts["id"].to_numpy(np.int64)] = counts["count"].to_numpy(np.int64)
     bits = code_lengths(table)

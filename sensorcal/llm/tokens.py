@@ -6,12 +6,16 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces whose ids a Python worker remembers, at most; it starts anew when they are reached.
 MEMORY = 1_200_000
-#: A line of its own: a word of Latin letters that normalization leaves as they are but for the case, and perhaps a full stop
-#: or comma; or anything else.
-_PIECES = re.compile(r"^(?:([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,]?)|.+)$", re.M)
+#: Bytes of text that are cut into pieces at a time, about.
+SLICE = 8 << 20
+#: A line of its own: a word of Latin letters that normalization leaves as they are but for the case, and perhaps a run of
+#: ASCII symbols (but an apostrophe), which is one word to the tokenizer; or anything else.
+_PIECES = re.compile(r"^(?:([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)|.+)$", re.M)
 
 
 class WordIds:
@@ -45,8 +49,8 @@ class WordIds:
             self.known[piece] = np.array(e.ids, "<u4").tobytes()
 
     def _plain(self, words: list[str]) -> None:
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
+        for k in range(0, len(words), 200):
+            part = words[k : k + 200]
             ids = np.array(self.lower_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) != len(part):
@@ -57,15 +61,19 @@ class WordIds:
 
     def learn(self, pieces: list[str]) -> None:
         """Pieces have no newline and are not empty."""
-        known, other, plain = self.known, [], []
+        known, other, composed, words = self.known, [], [], set()
         for piece, (word, tail) in zip(pieces, _PIECES.findall("\n".join(pieces))):
             if word:
-                plain.append((piece, word.lower(), tail))
+                low = word.lower()
+                words.add(low)
+                if low != piece:
+                    composed.append((piece, low, tail))
             else:
                 other.append(piece)
-        self._plain(list({w for _, w, _ in plain if w not in known}))
-        for piece, word, tail in plain:
-            known[piece] = known[word] + known[tail]
+        self._plain(list(words.difference(known)))
+        self._each(list({tail for _, _, tail in composed}.difference(known)))
+        for piece, low, tail in composed:
+            known[piece] = known[low] + known[tail]
         self._each(other)
 
     def encode(self, text: str | None) -> bytes:
@@ -78,6 +86,38 @@ class WordIds:
             self.learn(list(new))
         return b"".join(map(known.__getitem__, pieces))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text's; as :meth:`encode`, but each piece is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        if len(self.known) > MEMORY:
+            self._forget()
+        each = list(map(self.known.get, words))
+        new = [i for i, found in enumerate(each) if found is None]
+        if new:
+            self.learn([words[i] for i in new])
+            for i in new:
+                each[i] = self.known[words[i]]
+        ids = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        at, which = np.cumsum(sizes) - sizes, pieces.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        found = ids[np.repeat(at[which] - (ends - n), n) + np.arange(total)]
+        offsets = lists.offsets.to_numpy()
+        return found, np.diff(np.concatenate([[0], ends])[offsets - offsets[0]])
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> list[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each."""
+    if not len(texts):
+        return []
+    bytes_before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = (np.flatnonzero(np.diff(bytes_before // size)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)]))
+
 
 @cache
 def word_ids(path: str) -> WordIds:

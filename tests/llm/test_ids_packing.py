@@ -3,13 +3,14 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import prose
 from sensorcal.llm.common import tokens_path
 from sensorcal.llm.ids import canonical, code_lengths, decode_block, encode_block, ids_round_trip
 from sensorcal.llm.packing import nnls_counts, combinations, pack, places, plan
-from sensorcal.llm.tokens import WordIds
+from sensorcal.llm.tokens import WordIds, slices
 
 TEXTS = [None, "", " ", "The, a. don't i'll e-mail 3,14 X.Y. ..., ,. A.", "İstanbul ΣΑΣ ﬁ ǅ कख़ e\u0301 \u0301x a\u00a0b c\u2003d\x1ce\x85f", "<|endoftext|>x <|startoftext|> y", "ünlü Straße. Ÿ", prose(3, 5000), "x" * 30_000, "\r\n\t tab\tbed"]
 
@@ -27,6 +28,22 @@ def test_pieces_give_the_tokenizers_ids():
         assert w.encode(text) == ids[:-1].tobytes(), text
 
 
+def test_texts_of_a_batch_are_encoded_together():
+    texts = [*TEXTS, None, "word### ... a.b!?", "e.g., x'' l'art- abc!'s", "a<|endoftext|>b<| Stra$ß$ x~^`_{}|", ""]
+    column = pa.array(texts, pa.string())
+    want = [ids[:-1].tolist() for ids in encoded(texts)]
+    w = WordIds(tokens_path())
+    for size in (1, 50, 1 << 23):
+        cuts = slices(column, size)
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(texts)))
+        got = []
+        for a, b in cuts:
+            ids, n = w.encode_all(column.slice(a, b - a))
+            got += [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+    assert slices(pa.array([], pa.string())) == []
+
+
 def huffman_cost(counts):
     heap, cost = [c for c in counts if c], 0
     heapq.heapify(heap)
