@@ -1,0 +1,45 @@
+"""Queries of tree models train at full size."""
+
+from dataclasses import replace
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from sensorcal.operators import model as m
+from sensorcal.queries import QUERIES
+from sensorcal.runtime import checkpointed
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("lines"))
+    rows = [(i, i % 7, i % 11, i % 5, date(2024, 1, 1) + timedelta(days=i % 300), "ANR"[i % 3], 900.0 + 37 * i, i % 10 / 100, float(i % 50), i % 9 / 100) for i in range(420)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_returnflag string, l_extendedprice double, l_discount double, l_quantity double, l_tax double"
+    spark.createDataFrame(rows, names).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def trained(monkeypatch, kind, **small):
+    """Models of this kind as they are asked for; trained is a small one in place of each."""
+    seen, fit = [], kind.fit
+
+    def record(self, df, label):
+        seen.append(self)
+        return fit(replace(self, **small), df, label)
+
+    monkeypatch.setattr(kind, "fit", record)
+    return seen
+
+
+def test_boosting_runs_all_iterations(spark, lines, monkeypatch):
+    seen = trained(monkeypatch, m.Boosted, iterations=1)
+    assert QUERIES["gbt_fit"](spark, lines).count() == 3
+    assert [(x.iterations, x.depth) for x in seen] == [(800, 4)]
+
+
+def test_iterations_are_checkpointed(spark):
+    checkpointed(spark)
+    assert spark.sparkContext.getCheckpointDir() is not None
+    rows = spark.range(60).select((F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    assert m.Boosted(("a",), iterations=12).fit(rows, "y").transform(rows).count() == 60
