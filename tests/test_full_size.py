@@ -38,6 +38,13 @@ def test_boosting_runs_all_iterations(spark, lines, monkeypatch):
     assert [(x.iterations, x.depth) for x in seen] == [(800, 4)]
 
 
+def test_selection_runs_all_folds_and_iterations(spark, lines, monkeypatch):
+    seen = trained(monkeypatch, m.Boosted, iterations=1)
+    rows = QUERIES["model_select"](spark, lines).collect()
+    assert {r.model for r in rows} == {"ridge_spline", "boosted"} and sum(r.selected for r in rows) == 1
+    assert [(x.iterations, x.depth) for x in seen] == [(800, 4)] * 5
+
+
 def test_iterations_are_checkpointed(spark):
     checkpointed(spark)
     assert spark.sparkContext.getCheckpointDir() is not None
